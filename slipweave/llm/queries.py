@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import table
-from . import simhash, urlfilter, warc
+from . import embeddings, pieces, simhash, tokenstore, urlfilter, warc
 
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -26,15 +26,34 @@ def op5_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return urlfilter.judge(spark, table(spark, d, "pages"), rules)
 
 
+def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenstore.store_and_read(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, d, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_embedding_caps(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, d, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op5_url_filters": op5_url_filters,
+    "op6_token_store": op6_token_store,
     "op7_simhash": op7_simhash,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_embedding_caps": op10_embedding_caps,
 }
 
 _RULES = "(values " + ", ".join(map(repr, RULES)) + ") r(h, p, action)"
@@ -55,4 +74,12 @@ u as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
 f as (select page_id, first(h || p order by length(h || p) desc) "rule", first(action order by length(h || p) desc) action
       from u join {_RULES} on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
 select u.page_id, host, path, f."rule", coalesce(action, 'allow') verdict from u left join f using (page_id)""",
+    "op10_embedding_caps": """
+with recursive v as (select vec_id, embedding::double[] e from embeddings),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id
+      where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+r as (select vec_id a, vec_id b from v union select r.a, l.b from r join l on l.a = r.b),
+c as (select a vec_id, min(b) component_id from r group by a),
+n as (select a vec_id, count(*) n_links from l group by a)
+select vec_id, coalesce(n_links, 0) n_links, component_id, vec_id = component_id kept from c left join n using (vec_id)""",
 }
