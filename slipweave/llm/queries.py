@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import table
-from . import embeddings, pieces, simhash, tokenstore, urlfilter, warc
+from . import decontaminate, embeddings, html, pieces, quality, simhash, tokenstore, urlfilter, warc
 
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -16,11 +16,24 @@ RULES = [
 ]
 
 
+def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op2_warc_revisits(spark: SparkSession, d: str) -> DataFrame:
     found = warc.deduplicate(spark, table(spark, d, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html.main_text(table(spark, d, "pages"))
+
+
+def op4_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, d, "labels")))
+
+
 def op5_url_filters(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.sql("select * from values " + ", ".join(map(repr, RULES)) + " as t(host, path, action)")
     return urlfilter.judge(spark, table(spark, d, "pages"), rules)
@@ -48,7 +61,10 @@ def op10_embedding_caps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_html_text": op3_html_text,
+    "op4_quality": op4_quality,
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
     "op7_simhash": op7_simhash,
