@@ -139,10 +139,10 @@ def cuts(ids: np.ndarray) -> list[int]:
         while e - last > MOST:
             last += MOST
             out.append(last)
-        if e - last >= LEAST or e == n:
+        if e > last and (e - last >= LEAST or e == n):
             last = e
             out.append(e)
-    return out if out[-1] == n else [*out, n]
+    return out
 
 
 _zeros = b"\x00" * (4 * MOST)

@@ -53,6 +53,8 @@ def test_chunks_and_checksums():
     ends = tokenstore.cuts(ids)
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(ids) and sizes[:-1].min() >= tokenstore.LEAST and sizes.max() <= tokenstore.MOST
+    at = [e for e in range(100, 5000) if tokenstore.cuts(ids[:e])[-1:] == [e]]
+    assert len(at) == 4900 and all(np.diff([0, *tokenstore.cuts(ids[:e])]).min() > 0 for e in range(1, 5000))
     parts = [(zlib.crc32(ids[a:b].tobytes()), 4 * (b - a)) for a, b in zip([0, *ends], ends)]
     assert tokenstore.joined_crc(parts) == zlib.crc32(ids.tobytes())
     shifted = tokenstore.cuts(np.concatenate([ids[500:600], ids]))
