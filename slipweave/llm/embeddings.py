@@ -2,9 +2,10 @@
 
 Filter directions form a random product code: after a random rotation a vector
 is cut in two halves, each half has `codes` random unit directions, and a filter
-is one direction from each. The cap size is set so that a vector exceeds
-`expected` filters on average; all of them are list-decoded from the two short
-lists of half products without visiting the rest. Vectors meet in the tasks of
+is one direction from each. The cap size is set so that a vector exceeds EXPECTED
+filters on average; all of them are list-decoded from the two short lists of
+half products without visiting the rest. TABLES codes with rotations of their
+own even out vectors that one code serves badly. Vectors meet in the tasks of
 their first half's code, candidates are those that share a whole filter, and
 every candidate is verified in double precision.
 
@@ -32,8 +33,8 @@ from ..plans.shared import materialize
 from .components import components
 from .simhash import dealt, groups_of
 
-#: Average number of filters of a vector, and the sizes tried for the code.
-EXPECTED, SIZES = 56, (1 << 18, 1 << 16, 1 << 14, 1 << 12, 1 << 10, 1 << 8)
+#: Codes, average number of a vector's filters in each, and sizes tried for a code.
+TABLES, EXPECTED, SIZES = 3, 20, (1 << 16, 1 << 14, 1 << 12, 1 << 10, 1 << 8)
 #: Vectors shorter than this are not cut in halves.
 SHORT = 16
 
@@ -46,12 +47,12 @@ def cap(dim: int, share: float) -> float:
     return float(np.cos(angle[np.searchsorted(total, share * total[-1])]))
 
 
-@lru_cache(8)
+@lru_cache(32)
 def code(dim: int, cosine: float, seed: int) -> tuple[np.ndarray, list[np.ndarray], float]:
     """Rotation, the halves' directions and the threshold for one length.
 
     The code is the largest in SIZES whose caps still hold a vector's partner at
-    `cosine` with probability of a quarter; short vectors need larger caps."""
+    `cosine` with probability of a fifth; short vectors need larger caps."""
     rnd = np.random.default_rng([seed, dim])
     for size in SIZES if dim >= SHORT else SIZES[-2:]:
         share = min(0.4, EXPECTED / size)
@@ -59,7 +60,7 @@ def code(dim: int, cosine: float, seed: int) -> tuple[np.ndarray, list[np.ndarra
         x = np.full(4000, edge)
         z = rnd.normal(size=(4000, max(2, dim - 1)))[:, :max(1, dim - 1)]
         z = z[:, 0] / np.maximum(np.linalg.norm(z, axis=1), 1e-12)
-        if np.mean(cosine * x + np.sqrt(1 - cosine**2) * np.sqrt(1 - x**2) * z >= edge) >= 0.25:
+        if np.mean(cosine * x + np.sqrt(1 - cosine**2) * np.sqrt(1 - x**2) * z >= edge) >= 0.2:
             break
     turn = np.linalg.qr(rnd.normal(size=(dim, dim)))[0]
     if dim < SHORT:  # one list of directions; the second half is empty
@@ -102,7 +103,7 @@ def usable(vector):
 
 
 def filtered(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
-    """(key(dim, c1), node, n, vec, seconds): a row per class and first code."""
+    """(t, dim, c1, node, n, vec, seconds): a row per class, code and first direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,20 +114,23 @@ def filtered(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
                     mine = np.flatnonzero(dims == dim)
                     part = batch.take(pa.array(mine))
                     flat = part.column(2).flatten().to_numpy().reshape(-1, dim)
-                    row, first, second = decode(unit(flat), cosine, seed)
-                    if not len(row):
-                        continue
-                    order = np.lexsort((second, first, row))
-                    row, first, second = row[order], first[order], second[order]
-                    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])])
-                    offsets = pa.array(np.r_[new, len(row)].astype(np.int32))
-                    picked = part.take(pa.array(row[new]))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(new), dim, np.int32)), pa.array(first[new].astype(np.int32)), picked.column(0), picked.column(1),
-                        picked.column(2).cast(pa.list_(pa.float64())), pa.ListArray.from_arrays(offsets, pa.array(second.astype(np.int32))),
-                    ], ["dim", "c1", "node", "n", "vec", "seconds"])
-
-    return classes.select("node", "n", "embedding").mapInArrow(run, "dim int, c1 int, node long, n long, vec array<double>, seconds array<int>")
+                    whole_unit = unit(flat)
+                    for t in range(TABLES):
+                        row, first, second = decode(whole_unit, cosine, seed + t)
+                        if not len(row):
+                            continue
+                        order = np.lexsort((second, first, row))
+                        row, first, second = row[order], first[order], second[order]
+                        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] != first[:-1])])
+                        offsets = pa.array(np.r_[new, len(row)].astype(np.int32))
+                        picked = part.take(pa.array(row[new]))
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(new), t, np.int32)), pa.array(np.full(len(new), dim, np.int32)), pa.array(first[new].astype(np.int32)),
+                            picked.column(0), picked.column(1), picked.column(2), pa.ListArray.from_arrays(offsets, pa.array(second.astype(np.int32))),
+                        ], ["t", "dim", "c1", "node", "n", "vec", "seconds"])
+
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.select("node", "n", "embedding").mapInArrow(run, f"t int, dim int, c1 int, node long, n long, vec {kind}, seconds array<int>")
 
 
 def _pairs(vec: np.ndarray, offsets: np.ndarray, seconds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +162,12 @@ def _pairs(vec: np.ndarray, offsets: np.ndarray, seconds: np.ndarray, cosine: fl
     return a[exact >= cosine], b[exact >= cosine]
 
 
-def links(classes: DataFrame, cosine: float = 0.9, seed: int = 7, chunk: int = 1000) -> DataFrame:
+def links(classes: DataFrame, cosine: float = 0.9, seed: int = 7, chunk: int = 4000) -> DataFrame:
     """(a, b, na, nb): classes a < b within the cosine, with their sizes."""
     rows = materialize(filtered(classes, cosine, seed), "filters")
-    rows = rows.withColumn("key", F.struct("dim", "c1"))
-    rows = dealt(rows, "key", "node", chunk).select("dim", "c1", "i", "j", "node", "n", "vec", "seconds")
-    keys = ["dim", "c1", "i", "j"]
+    rows = rows.withColumn("key", F.struct("t", "dim", "c1"))
+    rows = dealt(rows, "key", "node", chunk).select("t", "dim", "c1", "i", "j", "node", "n", "vec", "seconds")
+    keys = ["t", "dim", "c1", "i", "j"]
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys)
 
@@ -190,7 +194,7 @@ def links(classes: DataFrame, cosine: float = 0.9, seed: int = 7, chunk: int = 1
     return found.where("a <> b").dropDuplicates(["a", "b"])
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 7, chunk: int = 1000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 7, chunk: int = 4000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = usable(F.col("embedding"))

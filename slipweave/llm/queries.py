@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import table
-from . import decontaminate, embeddings, html, pieces, quality, simhash, tokenstore, urlfilter, warc
+from . import decontaminate, embeddings, html, pieces, quality, simhash, suffix, tokenstore, urlfilter, warc
 
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -50,6 +50,10 @@ def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, d, "documents")).drop("spans")
+
+
 def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +64,12 @@ def op10_embedding_caps(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
 
 
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_revisits": op2_warc_revisits,
@@ -68,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_caps": op10_embedding_caps,
+    "pipeline": pipeline,
 }
 
 _RULES = "(values " + ", ".join(map(repr, RULES)) + ") r(h, p, action)"

@@ -27,6 +27,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +44,24 @@ from pyspark.sql.window import Window
 from ..plans.shared import materialize, new_path
 
 MEMO = 400_000
-WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
+WINDOW, MEAN, LEAST, MOST = 8, 512, 64, 4096
 _UNITS = re.compile(r" (?=[^\s\x1c-\x1f])")
+# Fixed value: the split of byte-level models.
+_GROUPS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Controls and letters beyond Latin, whose classes could differ between engines.
+_RARE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-\u024f]")
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level models write the other bytes as the characters from 256 on.
+_BYTES = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512)))
 
 
 class Encoder:
     """The tokenizers library with a memo over units of text.
 
     The byte-level split starts a new token group at every single space before a
-    non-space, so a text may be cut there; each different unit goes through the
-    library once while it is in the memo. Texts that hold one of the model's
+    non-space, so a text may be cut there; each different unit is split into its
+    token groups and each group goes through the library's model once while it is
+    in the memo. Texts that hold one of the model's
     added tokens, and models of another kind, are encoded whole.
     """
 
@@ -68,6 +78,30 @@ class Encoder:
         ) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.memo: dict[str, bytes] = {}
+        self.groups: dict[str, bytes] = {}
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units: the library's model on each token group, which a second
+        memo holds; units with rare characters take the library's own split."""
+        groups, model, out, rare = self.groups, self.lib.model, [], []
+        if len(groups) > MEMO:
+            groups.clear()
+        for u in units:
+            if _RARE.search(u):
+                rare.append(len(out))
+                out.append(b"")
+                continue
+            found = []
+            for g in _GROUPS.findall(u):
+                ids = groups.get(g)
+                if ids is None:
+                    tokens = model.tokenize(g.encode().decode("latin-1").translate(_BYTES))
+                    ids = groups[g] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                found.append(ids)
+            out.append(b"".join(found))
+        for k, ids in zip(rare, self._library([units[k] for k in rare])):
+            out[k] = ids
+        return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,7 +123,7 @@ class Encoder:
             if first not in memo:
                 missing[first] = None
         new = list(missing)
-        memo.update(zip(new, self._library([u[1:] if u[:1] == "\x00" else " " + u for u in new])))
+        memo.update(zip(new, self._units([u[1:] if u[:1] == "\x00" else " " + u for u in new])))
         for t, s in zip(texts, split):
             out.append(self._library([t])[0] if s is None else b"".join([memo[s[0]], *map(memo.__getitem__, s[1][1:])]))
         return out
