@@ -210,28 +210,47 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, materialize(rows.dropDuplicates(["uid"]), "documents")
 
 
+def _combined(cols: list[np.ndarray]) -> np.ndarray:
+    """Rows whose context an earlier place of the same batch holds."""
+    uid, a, c = cols[2], cols[3], cols[1]
+    order = np.argsort(c, kind="stable")
+    same = np.flatnonzero(c[order][1:] == c[order][:-1])
+    late = np.zeros(len(c), bool)
+    if len(same):
+        mine = np.zeros(len(c), bool)
+        mine[same] = mine[same + 1] = True
+        some = order[mine]
+        some = some[np.lexsort((a[some], uid[some], c[some]))]
+        late[some[1:]] = c[some][1:] == c[some][:-1]
+    return late
+
+
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, uid, a, b): anchor hash, context hash, and first and last window."""
+    """(h, c, uid, a, b, late): anchor hash, context hash, first and last window.
+
+    Contexts that repeat within a batch are settled there: only the earliest goes
+    on under its hash, the others are marked late and dealt evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 64):
-                batch = whole.slice(at, 64)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    raw = _bytes(text.as_py())
-                    if len(raw) < length:
-                        continue
-                    _, h, a, b = anchors(np.frombuffer(raw, np.uint8), length, gram)
-                    hashes = map(xxhash.xxh64_intdigest, [raw[i:j] for i, j in zip(a.tolist(), (b + length).tolist())])
-                    c = np.fromiter(hashes, np.uint64, len(h)).view(np.int64)
-                    for o, x in zip(out, (h, c, np.full(len(h), uid, np.int64), a, b)):
-                        o.append(x)
-                if out[0]:
-                    cols = [np.concatenate(o) for o in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols[:3], cols[3].astype(np.int32), cols[4].astype(np.int32))], ["h", "c", "uid", "a", "b"])
-
-    return docs.select("uid", "text").mapInArrow(run, "h long, c long, uid long, a int, b int")
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = _bytes(text.as_py())
+                if len(raw) < length:
+                    continue
+                _, h, a, b = anchors(np.frombuffer(raw, np.uint8), length, gram)
+                hashes = map(xxhash.xxh64_intdigest, [raw[i:j] for i, j in zip(a.tolist(), (b + length).tolist())])
+                c = np.fromiter(hashes, np.uint64, len(h)).view(np.int64)
+                for o, x in zip(out, (h, c, np.full(len(h), uid, np.int64), a.astype(np.int32), b.astype(np.int32))):
+                    o.append(x)
+            if out[0]:
+                cols = [np.concatenate(o) for o in out]
+                late = _combined(cols)
+                cols[0][late] = (cols[2][late] + cols[3][late]).astype(np.uint64).__mul__(_MIX).view(np.int64)
+                for k in range(0, len(late), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (*cols, late)], ["h", "c", "uid", "a", "b", "late"])
+
+    return docs.select("uid", "text").mapInArrow(run, "h long, c long, uid long, a int, b int, late boolean")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -241,9 +260,13 @@ def _classes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None  # a first member that may turn out alone; the last row's (h, c)
         for batch in batches:
-            if not len(batch):
-                continue
             cols = [batch.column(k).to_numpy() for k in range(5)]
+            late = batch.column(5).to_numpy(zero_copy_only=False)
+            if late.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(cols[k][late]) for k in (0, 2, 3, 4)], pa.array(np.zeros(late.sum(), bool))], ["h", "uid", "a", "b", "first"])
+                cols = [x[~late] for x in cols]
+            if not len(cols[0]):
+                continue
             h, c = cols[0], cols[1]
             before_h = np.r_[h[0] if last else 0, h[:-1]]
             before_c = np.r_[c[0] if last else 0, c[:-1]]
