@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back, small_batches
+
 Q, EDITS = 8, 0.1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r\x85\xa0  　"})
@@ -154,6 +156,7 @@ class Passages:
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     n = -(-2 * total // block_chars) if total > block_chars else 1
@@ -195,6 +198,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
             passages = shared.value
             for batch in batches:
                 yield batch.filter(pa.array([not passages.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -31,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import small_batches
+
 MARK = "▁"
-MEMO, PAIRS = 500_000, 1_000_000
+MEMO, PAIRS = 250_000, 300_000
 # Model and piece types of the public model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -275,6 +277,7 @@ def codec(path: str) -> Codec:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

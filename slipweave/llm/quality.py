@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back, small_batches
+
 WIDTH, FILTERS, CHUNK, OVERLAP, SUB = 5, 16, 256, 64, 64
 STEP = CHUNK - OVERLAP
 FOLDS, HELD = 4, 2
@@ -159,6 +161,7 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
             found = [net.score((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -167,11 +170,13 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
 def keep(docs: DataFrame, net: Net, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least the threshold."""
     names, schema = docs.columns, docs.schema
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
             good = [net.score((t.as_py() or "").encode("utf-8", "surrogatepass")) >= threshold for t in batch.column(at)]
             yield batch.filter(pa.array(good, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 from .components import components
+from .memory import small_batches
 
 _BLOCK = 1 << 15  # shingles hashed at a time
 
@@ -174,6 +175,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text)."""
     if not 0 <= distance < blocks <= 64:
         raise ValueError("blocks must exceed distance")
+    small_batches(docs.sparkSession)
     marked = materialize(fingerprints(docs, words, seed), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     found = components(links(classes.where("node is not null"), distance, blocks, chunk))

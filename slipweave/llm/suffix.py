@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
+from .memory import give_back, small_batches
 from .simhash import groups_of
 
 LENGTH, GRAM = 100, 32
@@ -247,8 +248,11 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 cols = [np.concatenate(o) for o in out]
                 late = _combined(cols)
                 cols[0][late] = (cols[2][late] + cols[3][late]).astype(np.uint64).__mul__(_MIX).view(np.int64)
+                out = []
                 for k in range(0, len(late), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (*cols, late)], ["h", "c", "uid", "a", "b", "late"])
+                del cols, late
+        give_back()
 
     return docs.select("uid", "text").mapInArrow(run, "h long, c long, uid long, a int, b int, late boolean")
 
@@ -331,7 +335,7 @@ def _expand(contexts: DataFrame, length: int) -> DataFrame:
     rows = contexts.where("h is not null").repartition(parts, "h").sortWithinPartitions("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, ["h"], most=8192):
+        for table in groups_of(batches, ["h"], most=4096):
             uid, a, b = (table[k].to_numpy().astype(np.int64) for k in ("uid", "a", "b"))
             texts = table["text"].to_pylist()
             cls, off, place = repeats(texts, np.zeros(len(a), np.int64), b - a + 1, length)
@@ -345,6 +349,7 @@ def _expand(contexts: DataFrame, length: int) -> DataFrame:
             new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1] + 1)])
             end = np.r_[new[1:], len(mine)] - 1
             yield pa.RecordBatch.from_arrays([pa.array(uid[c[new]]), pa.array(x[new].astype(np.int32)), pa.array(x[end].astype(np.int32))], ["uid", "a", "b"])
+        give_back()
 
     return rows.mapInArrow(run, "uid long, a int, b int")
 
@@ -359,6 +364,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     """(uid, a, b) for docs(uid, text): first and last window of stretches whose
     windows all start earlier somewhere; stretches may overlap."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = anchor_rows(docs, length, gram).repartition(parts, "h").sortWithinPartitions("h", "c", "uid", "a")
     found = materialize(_classes(rows), "classes")
