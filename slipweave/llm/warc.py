@@ -194,7 +194,7 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def rewrite(decisions: DataFrame, source: str, target: str, level: int = 5, roll_bytes: int = 128 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def rewrite(decisions: DataFrame, source: str, target: str, archives: int, level: int = 5, roll_bytes: int = 128 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Copies each archive with fresh headers; payloads go from file to file."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -212,6 +212,8 @@ def rewrite(decisions: DataFrame, source: str, target: str, level: int = 5, roll
         return pd.DataFrame({"file": out.files}, dtype=object)
 
     picked = decisions.select("file", "offset", "record_type", "refers_to")
+    # Rows are small and archives are not: a fixed count keeps one archive from joining others in a task.
+    picked = picked.repartition(2 * max(1, archives), "file")
     return materialize(picked.groupBy("file").applyInPandas(run, "file string"), "archives")
 
 
@@ -220,5 +222,5 @@ def deduplicate(spark: SparkSession, pages: DataFrame, folder: str | None = None
     base = folder or new_path(spark, "warc")
     first = write_archives(pages, f"{base}/raw")
     headers = materialize(read_archives(first, f"{base}/raw"), "headers")
-    second = rewrite(resolve(headers, min_bytes), f"{base}/raw", f"{base}/dedup")
+    second = rewrite(resolve(headers, min_bytes), f"{base}/raw", f"{base}/dedup", first.count())
     return read_archives(second, f"{base}/dedup")
