@@ -1,7 +1,7 @@
 """Token ids in a content-addressed store.
 
 Layout under the store's folder:
-  packs/*.ids      chunks of ids, little-endian, back to back
+  packs/*.ids      zstd streams of chunks of ids, little-endian, back to back
   index/           parquet: digest, pack, offset, n_ids of every stored chunk
   recipes/         parquet: root, digests - the chunks of each different document
   documents/       parquet, ascending doc_id: doc_id, root
@@ -201,7 +201,7 @@ def _encode(docs: DataFrame, folder: str, path: str, end: int, seen_most: int =
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         pack, offset, seen, tail, enc = f"{uuid.uuid4().hex}.ids", 0, set(), np.array([end], "<u4").tobytes(), encoder(path)
-        with fs.open_output_stream(f"{base}/{pack}") as out:
+        with fs.open_output_stream(f"{base}/{pack}", compression="zstd") as out:
             for whole in batches:
                 for at in range(0, len(whole), 128):
                     batch, rows = whole.slice(at, 128), []
@@ -240,7 +240,7 @@ def _compact(kept: DataFrame, source: str, target: str) -> DataFrame:
         to, top = pafs.FileSystem.from_uri(target)
         to.create_dir(top, recursive=True)
         pack, offset, rows = f"{uuid.uuid4().hex}.ids", 0, []
-        with fs.open_input_stream(f"{base}/{group['pack'].iloc[0]}") as f, to.open_output_stream(f"{top}/{pack}", compression="zstd") as out:
+        with fs.open_input_stream(f"{base}/{group['pack'].iloc[0]}", compression="zstd") as f, to.open_output_stream(f"{top}/{pack}", compression="zstd") as out:
             at = 0
             for digest, start, n in zip(group["digest"], group["offset"], group["n_ids"]):
                 while at < start:
