@@ -109,7 +109,8 @@ def detect(files: DataFrame, make_engine: Callable[[], Recognizer] = StubRecogni
             ]
         except Exception as e:  # a failed call fails its chunk
             out += [base | {"phase": 1, "error": str(e)} for base, _, _ in ready]
-        frame = pd.DataFrame(out, columns=[f.name for f in DETECTIONS])
+        names = [f.name for f in DETECTIONS]
+        frame = pd.DataFrame([[r.get(c) for c in names] for r in out], columns=names, dtype=object)
         frame["duration_s"] = time.monotonic() - started
         return frame
 

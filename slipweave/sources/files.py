@@ -53,8 +53,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def texts(spark: SparkSession, output_dir: str) -> DataFrame:
     """(output_id, text) of every <output_dir>/<id>/text.txt."""
     found = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "text.txt").text(output_dir)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "text.txt").text(output_dir, wholetext=True)
     )
     return found.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("output_id"),
