@@ -20,7 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .memory import give_back, small_batches
 
 Q, EDITS = 8, 0.1
+#: A character no text has; edits in a cell of the alignment table; no way; cells of one table.
+OUTSIDE, UNIT, FAR, CELLS = 0xFFFFFFFF, 1 << 32, 1 << 60, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r\x85\xa0  　"})
 
@@ -84,6 +86,8 @@ class Passages:
         self.place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else np.zeros(0, np.int64)
         self.sieve = np.zeros(1 << self.SIEVE, bool)
         self.sieve[self.grams >> np.uint64(64 - self.SIEVE)] = True
+        self.memo: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
+        self.memo_bytes = 0
 
     def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, band) of one text whose hits reach the bound."""
@@ -112,47 +116,106 @@ class Passages:
         enough = count >= self.bound[item]
         return item[enough], keys[enough] % wide - (wide >> 1)
 
-    def align(self, codes: np.ndarray, item: int, band: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best occurrence on the band's diagonals."""
-        p, k = self.codes[item], int(self.budget[item])
-        # An occurrence with k edits may leave the hits' diagonals by k more.
-        low, high = band * (k + 1) - k, (band + 2) * (k + 1) + k
-        width, n = high - low + 1, len(codes)
-        far = 1 << 30
-        cost = np.zeros(width, np.int64)  # row i, column d: the text position is i + low + d
-        start = np.arange(low, low + width)
-        outside = (start < 0) | (start > n)
-        cost[outside] = far
-        ramp = np.arange(width)
-        for i in range(1, len(p) + 1):
-            at = np.arange(width) + low + i
-            ok = (at >= 1) & (at <= n)
-            same = np.zeros(width, np.int64)
-            same[ok] = codes[at[ok] - 1] != p[i - 1]
-            step = np.where(ok, cost + same, far)
-            drop = np.append(cost[1:] + 1, far)  # the passage's character is missing in the text
-            pick = drop < step
-            now = np.where(pick, drop, step)
-            begun = np.where(pick, np.append(start[1:], 0), start)
-            now[(at < 0) | (at > n)] = far
-            reach = np.minimum.accumulate(now - ramp)  # characters added in the text
-            source = np.maximum.accumulate(np.where(now - ramp == reach, ramp, 0))
-            cost, start = np.minimum(reach + ramp, far), begun[source]
-            cost[(at < 0) | (at > n)] = far
-        best = int(cost.argmin())
-        if cost[best] > k:
-            return None
-        return int(cost[best]), int(start[best]), int(best + low + len(p))
-
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end): the best occurrence of each passage found."""
-        codes = _codes(normalize(text))
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, band in zip(*(x.tolist() for x in self.bands(codes))):
-            hit = self.align(codes, item, band)
-            if hit and (item not in best or hit < best[item]):
-                best[item] = hit
-        return [(self.ids[i], *best[i]) for i in sorted(best)]
+    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """(item, first diagonal, text) to align. Neighbouring bands of an item are one;
+        the text is what their diagonals cover, OUTSIDE where they leave it."""
+        items, bands = self.bands(codes)
+        if not len(items):
+            return
+        new = np.flatnonzero(np.r_[True, (items[1:] != items[:-1]) | (bands[1:] != bands[:-1] + 1)])
+        for item, low, high in zip(items[new].tolist(), bands[new].tolist(), np.r_[bands[new[1:] - 1], bands[-1:]].tolist()):
+            k = int(self.budget[item])
+            # An occurrence with k edits may leave the hits' diagonals by k more.
+            low, high = low * (k + 1) - k, (high + 2) * (k + 1) + k
+            size = high - low + len(self.codes[item])
+            part = np.full(size, OUTSIDE, np.uint32)
+            begin, end = max(low, 0), min(low + size, len(codes))
+            part[begin - low:end - low] = codes[begin:end]
+            yield item, low, part.tobytes()
+
+    def align(self, todo: list[tuple[int, bytes]]) -> list[tuple[int, int, int] | None]:
+        """(edits, start, end) of the best occurrence in each candidate's text, from
+        that text's first place, or None over the budget.
+
+        One banded table for many candidates: a row per character of the passages, a
+        column per diagonal. A cell holds edits * UNIT + start, so minima carry the
+        start along. Candidates whose whole row is over the budget leave early."""
+        out: list[tuple[int, int, int] | None] = [None] * len(todo)
+        order = sorted(range(len(todo)), key=lambda t: (len(self.codes[todo[t][0]]), len(todo[t][1])))
+        while order:
+            size, group = 0, []
+            while order and (not group or size * (len(group) + 1) <= CELLS):
+                group.append(order.pop())
+                size = max(size, len(todo[group[-1]][1]) // 4)
+            self._align([(t, *todo[t]) for t in group], out)
+        return out
+
+    def _align(self, group: list[tuple[int, int, bytes]], out: list) -> None:
+        who = np.array([t for t, _, _ in group])
+        items = [i for _, i, _ in group]
+        n = np.array([len(self.codes[i]) for i in items])
+        limit = (self.budget[items] + 1) * UNIT
+        wide = max(len(x) // 4 - len(self.codes[i]) + 1 for _, i, x in group)
+        text = np.full((len(group), n.max() + wide), OUTSIDE, np.uint32)
+        passage = np.zeros((len(group), n.max()), np.uint32)
+        for r, (_, i, x) in enumerate(group):
+            text[r, :len(x) // 4] = np.frombuffer(x, np.uint32)
+            passage[r, :n[r]] = self.codes[i]
+        inside = text != OUTSIDE
+        # Places of the text: before each of its characters, and after the last.
+        gone = ~np.c_[inside, np.zeros(len(group), bool)]
+        gone[:, 1:] &= ~inside
+        step = np.arange(wide) * UNIT
+        cell = np.where(gone[:, :wide], FAR, np.arange(wide))
+        for i in range(1, passage.shape[1] + 1):
+            now = cell + (text[:, i - 1:i - 1 + wide] != passage[:, i - 1, None]) * UNIT
+            np.minimum(now[:, :-1], cell[:, 1:] + UNIT, out=now[:, :-1])  # the passage's character is missing in the text
+            now -= step
+            np.minimum.accumulate(now, axis=1, out=now)  # characters added in the text
+            now += step
+            now[gone[:, i:i + wide]] = FAR
+            cell = now
+            ended = n == i
+            if ended.any() or i % 8 == 0:
+                least = cell.min(axis=1)
+                for r in np.flatnonzero(ended & (least < limit)).tolist():
+                    at = int(cell[r].argmin())
+                    out[who[r]] = (int(least[r] // UNIT), int(least[r] % UNIT), at + i)
+                stay = ~ended & (least < limit)
+                if not stay.any():
+                    return
+                if ended.any() or 4 * stay.sum() < 3 * len(stay):
+                    who, n, limit, text, passage, gone, cell = (x[stay] for x in (who, n, limit, text, passage, gone, cell))
+
+    def search(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, int, int, int]]]:
+        """For each text (item, edits, start, end): the best occurrence of each passage
+        found. Equal candidates, as in copies, are aligned once while remembered."""
+        waiting: list[list[tuple[int, int, bytes]]] = []
+        held = 0
+        for text in texts:
+            waiting.append(list(self._candidates(_codes(normalize(text)))))
+            held += sum(len(x) for _, _, x in waiting[-1])
+            if held >= 4 * CELLS or len(waiting) >= 4096:
+                yield from self._settle(waiting)
+                waiting, held = [], 0
+        yield from self._settle(waiting)
+
+    def _settle(self, waiting: list[list[tuple[int, int, bytes]]]) -> Iterator[list[tuple[int, int, int, int]]]:
+        if self.memo_bytes > 8 * CELLS:
+            self.memo.clear()
+            self.memo_bytes = 0
+        todo = list({(i, x): None for found in waiting for i, _, x in found if (i, x) not in self.memo})
+        self.memo.update(zip(todo, self.align(todo)))
+        self.memo_bytes += sum(len(x) for _, x in todo)
+        for found in waiting:
+            best: dict[int, tuple[int, int, int]] = {}
+            for item, low, x in found:
+                hit = self.memo[item, x]
+                if hit:
+                    hit = (hit[0], hit[1] + low, hit[2] + low)
+                    if item not in best or hit < best[item]:
+                        best[item] = hit
+            yield [(self.ids[i], *best[i]) for i in sorted(best)]
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
@@ -179,7 +242,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = ED
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             passages = shared.value
             for batch in batches:
-                out = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in passages.search(t.as_py())]
+                found = passages.search(t.as_py() for t in batch.column(1))
+                out = [(d, *hit) for d, hits in zip(batch.column(0).to_pylist(), found) for hit in hits]
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "start", "end"])
 
@@ -197,7 +261,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             passages = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not passages.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not hits for hits in passages.search(t.as_py() for t in batch.column(at))], pa.bool_()))
             give_back()
 
         docs = docs.mapInArrow(run, schema)
