@@ -95,28 +95,34 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return pos, h[pos].view(np.int64), new, np.r_[new[1:], n] - 1
 
 
+def _kind(n: int) -> type:
+    """The integers that hold places of a string of n symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first `depth` symbols or more, and their ranks."""
-    n = len(text)
+    n, kind = len(text), _kind(len(text))
     width = max(1, int(text.max()).bit_length())
     per = min(62 // width, depth)
     key = np.zeros(n, np.int64)
     for k in range(per):
         key <<= width
         if k < n:
-            key[:n - k] |= text[k:].astype(np.int64)
+            key[:n - k] |= text[k:]
     size = per
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
+        order = np.argsort(key, kind="stable").astype(kind)
+        key = key[order]
+        rank = np.empty(n, kind)
+        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=kind)
         if size >= depth or rank[order[-1]] == n - 1:
             return order, rank
-        nxt = np.zeros(n, np.int64)
+        key = rank.astype(np.int64)
+        key *= n + 1
         if size < n:
-            nxt[:n - size] = rank[size:] + 1
-        key = rank * (n + 1) + nxt
+            key[:n - size] += rank[size:]
+            key[:n - size] += 1
         size *= 2
 
 
@@ -128,23 +134,25 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndar
     suffixes that begin with w, all of one length per level. Occurrence ranks
     come from a stable sort of the transform (LF mapping), so c+w is found by
     mapping the first and last c of an interval."""
-    n = len(text)
+    n, kind = len(text), _kind(len(text))
     bwt = text[order - 1]
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
-    prefix = np.full(n + 1, limit, np.int64)
+    lf = np.empty(n, kind)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=kind)
+    prefix = np.full(n + 1, limit, np.int32)
     prefix[0] = 0
     known = np.zeros(n + 1, bool)
     known[0] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    lo, hi = np.zeros(1, kind), np.full(1, n, kind)
     for size in range(limit):
         if not len(lo):
             break
         # Extend every interval by each symbol before it.
         spans = hi - lo
-        owner = np.repeat(np.arange(len(lo)), spans)
-        inside = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(lo, spans)
+        owner = np.repeat(np.arange(len(lo), dtype=kind), spans)
+        inside = np.arange(spans.sum(), dtype=kind)
+        inside += np.repeat(lo - (np.cumsum(spans, dtype=kind) - spans), spans)
         symbol, to = bwt[inside], lf[inside]
+        del inside
         if size:  # a prefix may end in a separator but never holds one inside
             real = symbol > 0
             symbol, to, owner = symbol[real], to[real], owner[real]
@@ -152,6 +160,7 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndar
             break
         near = np.argsort(to, kind="stable")  # one symbol of one interval maps to neighbours
         to, own, sym = to[near], owner[near], symbol[near]
+        del near, owner, symbol
         new = np.flatnonzero(np.r_[True, (to[1:] != to[:-1] + 1) | (own[1:] != own[:-1]) | (sym[1:] != sym[:-1])])
         first = to[new]
         last = np.r_[to[new[1:] - 1], to[-1]] + 1
@@ -167,20 +176,23 @@ def repeats(contexts: list[bytes], starts: np.ndarray, counts: np.ndarray, lengt
     numbers windows with the same `length` bytes. starts and counts say which
     offsets of each class are its windows."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    raw = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64)
-    _, dense = np.unique(raw, return_inverse=True)
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    used = np.zeros(256, bool)
+    used[raw] = True
     sep = np.arange(len(contexts)) + np.cumsum(sizes)
-    text = np.zeros(len(raw) + len(contexts), np.int64)  # 0 ends every context
+    text = np.zeros(len(raw) + len(contexts), np.uint16)  # 0 ends every context
     begin = np.cumsum(sizes + 1) - sizes - 1
     body = np.ones(len(text), bool)
     body[sep] = False
-    text[body] = dense + 1
+    text[body] = np.cumsum(used, dtype=np.uint16)[raw]
+    del body
     order, _ = suffix_array(text, length)
     prefix = bounded_prefixes(text, order, length)
     cls = np.repeat(np.arange(len(contexts)), counts)
     off = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    place = np.empty(len(text), np.int64)
-    place[order] = np.cumsum(prefix < length)
+    place = np.empty(len(text), order.dtype)
+    place[order] = np.cumsum(prefix < length, dtype=order.dtype)
+    del order, prefix
     return cls, off, place[begin[cls] + off]
 
 
