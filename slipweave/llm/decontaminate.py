@@ -187,7 +187,11 @@ class Passages:
                 if ended.any() or 4 * stay.sum() < 3 * len(stay):
                     who, n, limit, text, passage, gone, cell = (x[stay] for x in (who, n, limit, text, passage, gone, cell))
 
-    def search(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, int, int, int]]]:
+    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """search_all() of one text."""
+        return next(self.search_all([text]))
+
+    def search_all(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, int, int, int]]]:
         """For each text (item, edits, start, end): the best occurrence of each passage
         found. Equal candidates, as in copies, are aligned once while remembered."""
         waiting: list[list[tuple[int, int, bytes]]] = []
@@ -242,7 +246,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = ED
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             passages = shared.value
             for batch in batches:
-                found = passages.search(t.as_py() for t in batch.column(1))
+                found = passages.search_all(t.as_py() for t in batch.column(1))
                 out = [(d, *hit) for d, hits in zip(batch.column(0).to_pylist(), found) for hit in hits]
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "start", "end"])
@@ -261,7 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             passages = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not hits for hits in passages.search(t.as_py() for t in batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not hits for hits in passages.search_all(t.as_py() for t in batch.column(at))], pa.bool_()))
             give_back()
 
         docs = docs.mapInArrow(run, schema)
