@@ -23,11 +23,11 @@ no rows give an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,41 +35,56 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.shared import materialize, new_path
+from .memory import give_back, small_batches
 
-MEMO = 400_000
+MEMO, PER_CALL = 250_000, 2048
 WINDOW, MEAN, LEAST, MOST = 8, 512, 64, 4096
 _UNITS = re.compile(r" (?=[^\s\x1c-\x1f])")
-# Fixed value: the split of byte-level models.
-_GROUPS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Letters and numbers up to U+024F.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(f"[{_L}]+")
+# Fixed value: the split of byte-level models, for characters up to U+024F.
+_GROUPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 #: Controls and letters beyond Latin, whose classes could differ between engines.
 _RARE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-\u024f]")
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level models write the other bytes as the characters from 256 on.
 _BYTES = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512)))
+_SPACE = chr(_BYTES[32])
+
+
+def _shown(text: str) -> str:
+    """Text as byte-level models write it."""
+    return text.encode().decode("latin-1").translate(_BYTES)
 
 
 class Encoder:
     """The tokenizers library with a memo over units of text.
 
     The byte-level split starts a new token group at every single space before a
-    non-space, so a text may be cut there; each different unit is split into its
-    token groups and each group goes through the library's model once while it is
-    in the memo. Texts that hold one of the model's
-    added tokens, and models of another kind, are encoded whole.
+    non-space, so a text may be cut there. A unit that the memo lacks is split
+    into its groups, which are units themselves, and what is lacking of them goes
+    through the library's model, many at a time where each starts with a space:
+    only their first ids stand for a leading space. Units with rare characters
+    take the library's own split. The memo has two generations; what the older
+    one holds is taken over when met again, the rest goes when the younger one is
+    full. Texts that hold one of the model's added tokens, and models of another
+    kind, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        self.groups = Tokenizer(self.lib.model)  # one model in memory
+        self.groups.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -77,56 +92,71 @@ class Encoder:
             spec["model"]["type"] == "BPE" if "type" in spec["model"] else True
         ) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        vocab = self.lib.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[i for t, i in vocab.items() if t.startswith(_SPACE)]] = True
+        # Keys are units without the space before them; "\n" marks those without one, as no unit starts with white space.
         self.memo: dict[str, bytes] = {}
-        self.groups: dict[str, bytes] = {}
-
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of units: the library's model on each token group, which a second
-        memo holds; units with rare characters take the library's own split."""
-        groups, model, out, rare = self.groups, self.lib.model, [], []
-        if len(groups) > MEMO:
-            groups.clear()
+        self.older: dict[str, bytes] = {}
+
+    def _absent(self, keys: set[str]) -> set[str]:
+        """The keys the memo lacks, once the older generation has given what it holds."""
+        lacking = keys.difference(self.memo)
+        new = lacking.difference(self.older)
+        self.memo.update((k, self.older[k]) for k in lacking - new)
+        return new
+
+    def _learn(self, units: set[str]) -> None:
+        """Adds units that the memo lacks."""
+        memo, words, rare, several = self.memo, set(), [], {}
         for u in units:
-            if _RARE.search(u):
-                rare.append(len(out))
-                out.append(b"")
-                continue
-            found = []
-            for g in _GROUPS.findall(u):
-                ids = groups.get(g)
-                if ids is None:
-                    tokens = model.tokenize(g.encode().decode("latin-1").translate(_BYTES))
-                    ids = groups[g] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-                found.append(ids)
-            out.append(b"".join(found))
-        for k, ids in zip(rare, self._library([units[k] for k in rare])):
-            out[k] = ids
-        return out
+            if _WORD.fullmatch(u):
+                words.add(u)
+            elif _RARE.search(u):
+                rare.append(u)
+            else:
+                found = _GROUPS.findall(u[1:] if u[:1] == "\n" else " " + u)
+                several[u] = [g[1:] if g[0] == " " and not g.isspace() else "\n" + g for g in found]
+        groups = set().union(*several.values())
+        self._encode_groups(list(words | self._absent(groups - words)))
+        memo.update((u, b"".join(map(memo.__getitem__, keys))) for u, keys in several.items())
+        memo.update(zip(rare, self._library([u[1:] if u[:1] == "\n" else " " + u for u in rare])))
+
+    def _encode_groups(self, keys: list[str]) -> None:
+        memo, model, spaced = self.memo, self.lib.model, []
+        for k in keys:
+            if k[0] == "\n":
+                memo[k] = np.array([t.id for t in model.tokenize(_shown(k[1:]))], "<u4").tobytes()
+            else:
+                spaced.append(k)
+        for at in range(0, len(spaced), PER_CALL):
+            part = spaced[at:at + PER_CALL]
+            text = "\n".join([_SPACE + (k if k.isascii() else _shown(k)) for k in part])
+            ids = np.array(self.groups.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(part):
+                raise ValueError("the tokenizer has ids that hide a leading space")
+            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            memo.update((k, raw[a:b]) for k, a, b in zip(part, (4 * starts).tolist(), ends))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo, out, split = self.memo, [], []
-        if len(memo) > MEMO:
-            memo.clear()
-        missing: dict[str, None] = {}
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        split, met = [], set()
         for t in texts:
             if not self.cuts or any(a in t for a in self.added):
                 split.append(None)
                 continue
             units = _UNITS.split(t)
-            first = "\x00" + units[0]  # not preceded by a space
-            split.append((first, units))
-            missing.update((u, None) for u in units[1:] if u not in memo)
-            if first not in memo:
-                missing[first] = None
-        new = list(missing)
-        memo.update(zip(new, self._units([u[1:] if u[:1] == "\x00" else " " + u for u in new])))
-        for t, s in zip(texts, split):
-            out.append(self._library([t])[0] if s is None else b"".join([memo[s[0]], *map(memo.__getitem__, s[1][1:])]))
-        return out
+            units[0] = "\n" + units[0]
+            met.update(units)
+            split.append(units)
+        self._learn(self._absent(met))
+        return [self._library([t])[0] if s is None else b"".join(map(self.memo.__getitem__, s)) for t, s in zip(texts, split)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -195,35 +225,40 @@ _ROWS = "kind string, doc_id long, root binary, digests binary, digest binary, p
 
 
 def _encode(docs: DataFrame, folder: str, path: str, end: int, seen_most: int = 200_000) -> DataFrame:
-    names = [c.split()[0] for c in _ROWS.split(", ")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         pack, offset, seen, tail, enc = f"{uuid.uuid4().hex}.ids", 0, set(), np.array([end], "<u4").tobytes(), encoder(path)
-        with fs.open_output_stream(f"{base}/{pack}", compression="zstd") as out:
-            for whole in batches:
-                for at in range(0, len(whole), 128):
-                    batch, rows = whole.slice(at, 128), []
-                    texts = [t or "" for t in batch.column(1).to_pylist()]
-                    for doc, data in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                        data += tail
-                        last, digests = 0, []
-                        for e in cuts(np.frombuffer(data, "<u4")):
-                            chunk = data[4 * last:4 * e]
-                            d = _hash(chunk)
-                            digests.append(d)
-                            if d not in seen:
-                                if len(seen) >= seen_most:
-                                    seen.clear()
-                                seen.add(d)
-                                out.write(chunk)
-                                rows.append(("chunk", None, None, None, d, pack, offset, e - last))
-                                offset += len(chunk)
-                            last = e
-                        rows.append(("doc", doc, merkle(digests), b"".join(digests), None, None, None, None))
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), schema=_ARROW, preserve_index=False)
-
+        gc.disable()  # the texts' units make no cycles, and being looked through again and again they take a fifth of the time
+        try:
+            with fs.open_output_stream(f"{base}/{pack}", compression="zstd") as out:
+                for whole in batches:
+                    gc.collect()
+                    for at in range(0, len(whole), 128):
+                        batch, rows = whole.slice(at, 128), []
+                        texts = [t or "" for t in batch.column(1).to_pylist()]
+                        for doc, data in zip(batch.column(0).to_pylist(), enc.encode(texts)):
+                            data += tail
+                            last, digests = 0, []
+                            for e in cuts(np.frombuffer(data, "<u4")):
+                                chunk = data[4 * last:4 * e]
+                                d = _hash(chunk)
+                                digests.append(d)
+                                if d not in seen:
+                                    if len(seen) >= seen_most:
+                                        seen.clear()
+                                    seen.add(d)
+                                    out.write(chunk)
+                                    rows.append(("chunk", None, None, None, d, pack, offset, e - last))
+                                    offset += len(chunk)
+                                last = e
+                            rows.append(("doc", doc, merkle(digests), b"".join(digests), None, None, None, None))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+        finally:
+            gc.enable()
+        give_back()
+
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _ROWS)
 

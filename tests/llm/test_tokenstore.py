@@ -9,7 +9,7 @@ from slipweave.llm import tokenstore
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "a  b", "x \n y", "a b \x1c c", "<|endoftext|> it's", "l'été 😀 日本", "\n\n  z", "tab\t tab ", "12 345", "don't  stop", " lead", "e　 f"]
+ODD = ["", " ", "a  b", "x \n y", "a b \x1c c", "<|endoftext|> it's", "l'été 😀 日本", "\n\n  z", "tab\t tab ", "12 345", "don't  stop", " lead", "e　 f", "a \x00b \x00b", "\x00b", "\na\n\nb \n", "x\r\ny z\nw v\n", "a\u180e b\n\u180ec d", "\x85a \xa0b", "-- 's\n's"]
 
 
 def want(rows):
