@@ -1,0 +1,170 @@
+"""Near copies by word-shingle similarity, complete by prefix filtering.
+
+A text is the set of XXH64 values of its word shingles. Sets are put in one global
+order, rare shingles first; two sets of Jaccard similarity at least a/b share a
+shingle among the first n - ceil(n * a/b) + 1 of each. Sets that do, and whose sizes
+and places of the shared shingle leave room for the similarity, are candidates;
+every candidate is verified on the whole sets. No pair that reaches the similarity
+is missed, whatever the order: it only decides how many candidates there are. It
+comes from the counts in a sample of the documents.
+
+Equal sets are one class before anything is joined. Shingles held by one class only
+are dropped; one held by many is dealt over pairs of chunks, as in simhash.
+
+Defined cases: null text is empty; texts without words are one class; texts shorter
+than a shingle are one shingle; a null doc_id is kept but is never a component's
+name unless the class has no other; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.shared import materialize
+from .components import components
+from .memory import give_back, small_batches
+from .simhash import dealt, group_ids, groups_of
+
+_BLOCK = 1 << 15  # shingles hashed at a time
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of the shingles' hashes, ascending."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    stops = ends[words - 1:] if len(parts) >= words else ends[-1:]
+    found = []
+    for k in range(0, len(stops), _BLOCK):
+        a, b = starts[k:min(len(stops), k + _BLOCK)].tolist(), stops[k:k + _BLOCK].tolist()
+        raw = b"".join(map(xxhash.xxh64_digest, [joined[i:j] for i, j in zip(a, b)], repeat(seed)))
+        found.append(np.frombuffer(raw, ">u8").astype(np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def common(docs: DataFrame, words: int, seed: int, sample: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of shingles that two documents of a sample share."""
+    share = max(1, docs.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words, seed).view(np.int64))], ["h"])
+
+    hashes = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(run, "h long")
+    rows = hashes.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toPandas()
+    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], words: int, least: tuple[int, int], seed: int) -> DataFrame:
+    """(doc_id, class, n, prefix): the class names the set; n is its size."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    a, b = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = shared.value
+        for batch in batches:
+            names, sizes, firsts = [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py(), words, seed)
+                n = len(s)
+                often = np.zeros(n, np.int64)
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[at] == s, times[at], 0)
+                names.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
+                sizes.append(n)
+                firsts.append(s[np.lexsort((s, often))[:n - -(-a * n // b) + 1]].view(np.int64))
+            name = pa.array(np.array(names, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), name, pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "class", "n", "prefix"])
+        give_back()
+
+    return _texts(docs).mapInArrow(run, "doc_id long, class long, n long, prefix array<long>")
+
+
+def _room(group: np.ndarray, n: np.ndarray, pos: np.ndarray, node: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one group that can reach the similarity; `group` is sorted."""
+    a, b = least
+    left, right = [], []
+    for lag in range(1, len(group)):
+        x = np.flatnonzero(group[lag:] == group[:-lag])
+        if not len(x):
+            break
+        y = x + lag
+        best = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+        good = ((a + b) * best >= a * (n[x] + n[y])) & (node[x] != node[y])
+        left.append(x[good])
+        right.append(y[good])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def candidates(classes: DataFrame, least: tuple[int, int], chunk: int) -> DataFrame:
+    """(a, b), a < b, of classes(node, n, prefix) that share a shingle and have room."""
+    rows = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    keys = ["h", "i", "j"]
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt(rows, "h", "node", chunk).select(*keys, "node", "n", "pos")
+    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, keys):
+            node = table["node"].to_numpy()
+            x, y = _room(group_ids(table, keys), table["n"].to_numpy().astype(np.int64), table["pos"].to_numpy().astype(np.int64), node, least)
+            pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], seed: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
+    a, b = least
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words, seed).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append((a + b) * both >= a * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = materialize(_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary").distinct(), "sets")
+    met = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), seed: int = 42, chunk: int = 1000, sample: int = 40_000) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text): components of
+    texts whose shingle sets have Jaccard similarity of at least least[0] / least[1]."""
+    small_batches(docs.sparkSession)
+    marked = materialize(prefixes(docs, common(docs, words, seed, sample), words, least, seed), "prefixes")
+    first = marked.groupBy("class").agg(F.min_by(F.struct("n", "prefix"), F.col("doc_id")).alias("r"), F.min("doc_id").alias("node"))
+    classes = materialize(first.select("class", "node", "r.*"), "classes")
+    pairs = materialize(candidates(classes.where("node is not null"), least, chunk), "pairs")
+    found = components(verified(pairs, docs, words, least, seed))
+    named = classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")
