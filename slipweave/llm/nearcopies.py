@@ -4,7 +4,8 @@ A text is the set of XXH64 values of its word shingles. Sets are put in one glob
 order, rare shingles first; two sets of Jaccard similarity at least a/b share a
 shingle among the first n - ceil(n * a/b) + 1 of each. Sets that do, and whose sizes
 and places of the shared shingle leave room for the similarity, are candidates;
-every candidate is verified on the whole sets. No pair that reaches the similarity
+every candidate is verified on the whole sets, after a bound on a quarter of each:
+what differs there cannot exceed what may differ in all. No pair that reaches the similarity
 is missed, whatever the order: it only decides how many candidates there are. It
 comes from the counts in a sample of the documents.
 
@@ -57,8 +58,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def common(docs: DataFrame, words: int, seed: int, sample: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, counts) of shingles that two documents of a sample share."""
+def common(docs: DataFrame, words: int, seed: int, sample: int, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of shingles that documents of a sample share, at most
+    `most` of the most frequent: what reaches the driver is 16 bytes each."""
     share = max(1, docs.count() // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,22 +68,40 @@ def common(docs: DataFrame, words: int, seed: int, sample: int, most: int = 1 <<
             for text in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words, seed).view(np.int64))], ["h"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], ["b"])
+
     hashes = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(run, "h long")
-    rows = hashes.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toPandas()
-    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    counted = materialize(hashes.groupBy("h").count().where("count > 1"), "common")
+    held, least = 0, 1 << 62
+    for r in counted.groupBy(F.col("count").alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        if held + r["n"] > most:
+            break
+        held, least = held + r["n"], r["c"]
+    packed = counted.where(F.col("count") >= least).select("h", "count").mapInArrow(pack, "b binary").collect()
+    rows = np.frombuffer(b"".join(bytes(r["b"]) for r in packed), np.int64).reshape(-1, 2)
+    h = rows[:, 0].copy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], rows[order, 1]
+
+
+def quarter(s: np.ndarray) -> np.ndarray:
+    """16 bits of each hash in a quarter of the range, as a set; two such sets differ
+    in no more places than the whole sets do."""
+    return np.unique((s[s >> np.uint64(62) == 0] >> np.uint64(46)).astype(np.uint16))
 
 
 def prefixes(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], words: int, least: tuple[int, int], seed: int) -> DataFrame:
-    """(doc_id, class, n, prefix): the class names the set; n is its size."""
+    """(doc_id, class, n, prefix, part): the class names the set; n is its size."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     a, b = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for batch in batches:
-            names, sizes, firsts = [], [], []
+            names, sizes, firsts, quarters = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words, seed)
                 n = len(s)
@@ -92,11 +112,12 @@ def prefixes(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], words: int,
                 names.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
                 sizes.append(n)
                 firsts.append(s[np.lexsort((s, often))[:n - -(-a * n // b) + 1]].view(np.int64))
+                quarters.append(quarter(s).tobytes())
             name = pa.array(np.array(names, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), name, pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "class", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), name, pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(quarters, pa.binary())], ["doc_id", "class", "n", "prefix", "part"])
         give_back()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, class long, n long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, class long, n long, prefix array<long>, part binary")
 
 
 def _room(group: np.ndarray, n: np.ndarray, pos: np.ndarray, node: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +154,26 @@ def candidates(classes: DataFrame, least: tuple[int, int], chunk: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs of which a quarter of the sets leaves room for the similarity."""
+    a, b = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for m, n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                good.append(differ <= m + n - 2 * -(-a * (m + n) // (a + b)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def side(name: str, n: str, part: str) -> DataFrame:
+        return classes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("part").alias(part))
+
+    met = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return met.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], seed: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity."""
     a, b = least
@@ -157,14 +198,16 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, in
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), seed: int = 42, chunk: int = 1000, sample: int = 40_000) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), seed: int = 42, chunk: int = 1000, sample: int = 8_000) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text): components of
     texts whose shingle sets have Jaccard similarity of at least least[0] / least[1]."""
     small_batches(docs.sparkSession)
     marked = materialize(prefixes(docs, common(docs, words, seed, sample), words, least, seed), "prefixes")
-    first = marked.groupBy("class").agg(F.min_by(F.struct("n", "prefix"), F.col("doc_id")).alias("r"), F.min("doc_id").alias("node"))
+    first = marked.groupBy("class").agg(F.min_by(F.struct("n", "prefix", "part"), F.col("doc_id")).alias("r"), F.min("doc_id").alias("node"))
     classes = materialize(first.select("class", "node", "r.*"), "classes")
-    pairs = materialize(candidates(classes.where("node is not null"), least, chunk), "pairs")
+    known = classes.where("node is not null")
+    met = materialize(candidates(known, least, chunk), "candidates")
+    pairs = materialize(bounded(met, known, least), "pairs")
     found = components(verified(pairs, docs, words, least, seed))
     named = classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")
