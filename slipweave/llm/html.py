@@ -42,6 +42,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REGIONS = frozenset(("article", "main"))
 WRAPPERS = frozenset(("html", "body", *REGIONS))
+#: Blocks that may stand in a head; any other one ends it.
+HEAD = frozenset("title style script noscript template".split())
 SIGMA = 1.0
 
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -95,6 +97,8 @@ class Lines(HTMLParser):
         self._flush()
         if tag in VOID:
             return
+        if tag not in HEAD and self.open and self.open[-1][0] == "head":  # its end tag may be left out
+            self._pop(len(self.open) - 1)
         if tag == "p" or tag in _CLOSES:
             ends = _CLOSES[tag]
             if self.open and self.open[-1][0] in ends:
@@ -108,6 +112,8 @@ class Lines(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag in SKIPPED and self.open and self.open[-1][0] == tag:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         self.tags += 1
