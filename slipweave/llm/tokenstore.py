@@ -28,13 +28,16 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,39 +46,116 @@ from pyspark.sql.window import Window
 from ..plans.shared import materialize, new_path
 from .memory import give_back, small_batches
 
-MEMO, PER_CALL = 250_000, 2048
-WINDOW, MEAN, LEAST, MOST = 8, 512, 64, 4096
-_UNITS = re.compile(r" (?=[^\s\x1c-\x1f])")
-#: Letters and numbers up to U+024F.
-_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORD = re.compile(f"[{_L}]+")
-# Fixed value: the split of byte-level models, for characters up to U+024F.
-_GROUPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-#: Controls and letters beyond Latin, whose classes could differ between engines.
-_RARE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-\u024f]")
+MEMO, PER_CALL, PIECE = 2_000_000, 2048, 1 << 23
+WINDOW, MEAN, LEAST, MOST, DIGEST = 8, 512, 64, 4096, 16
+#: Classes of characters: white space, letters, numbers, all others, and those whose class may differ between engines.
+SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level models write the other bytes as the characters from 256 on.
 _BYTES = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512)))
-_SPACE = chr(_BYTES[32])
+# What byte-level models split off after an apostrophe.
+_SHORT = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
-def _shown(text: str) -> str:
-    """Text as byte-level models write it."""
-    return text.encode().decode("latin-1").translate(_BYTES)
+_CUT = re.compile(rb" (?=[!-~])")
+
+
+def _shown(raw: bytes) -> str:
+    """Bytes as byte-level models write them."""
+    return raw.decode("latin-1").translate(_BYTES)
+
+
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """Class of every code point. Letters and numbers that an early Unicode lacked, and
+    code points without a character, are unsure; so are most control characters."""
+    early, out = unicodedata.ucd_3_2_0.category, np.full(0x110000, OTHER, np.uint8)
+    for c in range(1 << 17):
+        kind, old = unicodedata.category(x := chr(c)), early(x)
+        if kind in ("Cn", "Cc") or kind[0] != old[0] and (kind[0] in "LNZ" or old[0] in "LNZ"):
+            out[c] = UNSURE
+        else:
+            out[c] = {"L": LETTER, "N": NUMBER, "Z": SPACE}.get(kind[0], OTHER)
+    out[9:14] = SPACE
+    out[1 << 17:] = UNSURE
+    return out
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte of some UTF-8 text belongs to."""
+    table = classes()
+    out = table[:128].take(data, mode="clip")
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x7F >> size)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+        kind = table[code]
+        for k in range(4):
+            out[lead[size > k] + k] = kind[size > k]
+    return out
+
+
+def groups(data: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Starts of the groups into which byte-level models split texts that lie back to
+    back in `data`; `ends` are the texts' ends, none of them empty.
+
+    A run of one class is a group. Of white space before something else the last
+    character is by itself, and a space joins what follows. An apostrophe that
+    starts a group takes some endings with it."""
+    n = len(data)
+    start = np.empty(n, bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[ends[:-1]] = True
+    follows = np.flatnonzero(start & (kind != SPACE))
+    follows = follows[1:] if len(follows) and follows[0] == 0 else follows
+    follows = follows[kind[follows - 1] == SPACE]  # something after white space
+    if len(ends) > 1:
+        follows = follows[~np.isin(follows, ends[:-1])]
+    last = follows - 1
+    for _ in range(2):
+        last = last - (data[last] & 0xC0 == 0x80)
+    start[last] = True
+    start[follows[data[last] == 32]] = False
+    quote = np.flatnonzero(start & (data == 39))
+    if len(quote):
+        limit = ends[np.searchsorted(ends, quote, "right")]
+        padded = np.r_[data, np.zeros(3, np.uint8)]
+        for tail in _SHORT:
+            fits = quote + 1 + len(tail) <= limit
+            for k, c in enumerate(tail):
+                fits &= padded[quote + 1 + k] == c
+            q = quote[fits]
+            start[q + 1] = False
+            after = q + 1 + len(tail)
+            start[after[after < limit[fits]]] = True
+    return np.flatnonzero(start)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `size` of them, one range after the other."""
+    upto = np.cumsum(size, dtype=np.int64)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) < 1 << 30) else np.int64
+    out = np.repeat((start - upto + size).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:
-    """The tokenizers library with a memo over units of text.
-
-    The byte-level split starts a new token group at every single space before a
-    non-space, so a text may be cut there. A unit that the memo lacks is split
-    into its groups, which are units themselves, and what is lacking of them goes
-    through the library's model, many at a time where each starts with a space:
-    only their first ids stand for a leading space. Units with rare characters
-    take the library's own split. The memo has two generations; what the older
-    one holds is taken over when met again, the rest goes when the younger one is
-    full. Texts that hold one of the model's added tokens, and models of another
-    kind, are encoded whole.
+    """The tokenizers library with a memo over the groups that byte-level models split
+    texts into before they look at the merges.
+
+    Many texts are split at once by the classes of their bytes; equal groups of a
+    batch are one, and those that the memo lacks go through the library's model,
+    many at a time. Groups, ids and lookups stay in arrays. A memo that is full
+    keeps what the batch at hand has of it. Texts with characters whose class is
+    unsure, or that hold one of the model's added tokens, and models of another
+    kind, are encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -83,80 +163,124 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        self.groups = Tokenizer(self.lib.model)  # one model in memory
-        self.groups.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.cuts = (
-            spec["model"]["type"] == "BPE" if "type" in spec["model"] else True
-        ) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        vocab = self.lib.get_vocab()
-        self.leads = np.zeros(max(vocab.values()) + 1, bool)
-        self.leads[[i for t, i in vocab.items() if t.startswith(_SPACE)]] = True
-        # Keys are units without the space before them; "\n" marks those without one, as no unit starts with white space.
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _absent(self, keys: set[str]) -> set[str]:
-        """The keys the memo lacks, once the older generation has given what it holds."""
-        lacking = keys.difference(self.memo)
-        new = lacking.difference(self.older)
-        self.memo.update((k, self.older[k]) for k in lacking - new)
-        return new
-
-    def _learn(self, units: set[str]) -> None:
-        """Adds units that the memo lacks."""
-        memo, words, rare, several = self.memo, set(), [], {}
-        for u in units:
-            if _WORD.fullmatch(u):
-                words.add(u)
-            elif _RARE.search(u):
-                rare.append(u)
-            else:
-                found = _GROUPS.findall(u[1:] if u[:1] == "\n" else " " + u)
-                several[u] = [g[1:] if g[0] == " " and not g.isspace() else "\n" + g for g in found]
-        groups = set().union(*several.values())
-        self._encode_groups(list(words | self._absent(groups - words)))
-        memo.update((u, b"".join(map(memo.__getitem__, keys))) for u, keys in several.items())
-        memo.update(zip(rare, self._library([u[1:] if u[:1] == "\n" else " " + u for u in rare])))
-
-    def _encode_groups(self, keys: list[str]) -> None:
-        memo, model, spaced = self.memo, self.lib.model, []
-        for k in keys:
-            if k[0] == "\n":
-                memo[k] = np.array([t.id for t in model.tokenize(_shown(k[1:]))], "<u4").tobytes()
-            else:
-                spaced.append(k)
-        for at in range(0, len(spaced), PER_CALL):
-            part = spaced[at:at + PER_CALL]
-            text = "\n".join([_SPACE + (k if k.isascii() else _shown(k)) for k in part])
-            ids = np.array(self.groups.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer has ids that hide a leading space")
-            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            memo.update((k, raw[a:b]) for k, a, b in zip(part, (4 * starts).tolist(), ends))
+        self.parting = b"\n"
+        self.end_of_line = self.lib.token_to_id(_shown(self.parting))
+        self.splits = bool(
+            spec["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+            and not spec.get("normalizer") and not spec.get("post_processor") and self.end_of_line is not None
+        )
+        self.groups = Tokenizer(self.lib.model)  # one model in memory
+        self.groups.pre_tokenizer = pre_tokenizers.Split(_shown(self.parting), "isolated")
+        # Known groups, the number of ids of each, and all their ids back to back.
+        self.known, self.sizes, self.flat = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Appends groups to the known ones."""
+        keys = new.to_pylist()
+        several = np.array([self.parting in k for k in keys])  # what parts the groups in a call stands in these
+        rest = [k for k, x in zip(keys, several) if not x]
+        sizes, flat = np.zeros(len(keys), np.int32), []
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(rest), PER_CALL):
+            part = rest[at:at + PER_CALL]
+            text = _shown(self.parting.join(part))
+            ids = np.array(self.groups.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(ids == self.end_of_line)
+            if len(stops) != len(part) - 1:
+                raise ValueError("the tokenizer merges across groups")
+            found.append(np.diff(np.r_[-1, stops, len(ids)]) - 1)
+            flat.append(ids[ids != self.end_of_line])
+        sizes[~several] = np.concatenate(found)
+        if several.any():  # few and short: one by one, and into their places
+            ends, parts, at = np.cumsum(sizes), [], 0
+            whole = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+            for k in np.flatnonzero(several).tolist():
+                parts += [whole[at:ends[k]], np.array([t.id for t in self.lib.model.tokenize(_shown(keys[k]))], np.uint32)]
+                sizes[k], at = len(parts[-1]), ends[k]
+            flat = [*parts, whole[at:]]
+        self.known = pa.concat_arrays([self.known, new])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where different groups are among the known ones, which they join."""
+        at = pc.index_in(words, value_set=self.known)
+        if not at.null_count:
+            return at.to_numpy()
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().copy()
+        if len(self.known) + new.sum() > MEMO:
+            mine = np.sort(at[~new])
+            start = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+            self.flat = self.flat[_ranges(start[mine], self.sizes[mine])]
+            self.known, self.sizes = self.known.take(pa.array(mine)), self.sizes[mine]
+            at[~new] = np.searchsorted(mine, at[~new])
+        at[new] = len(self.known) + np.arange(new.sum())
+        self._learn(words.filter(pa.array(new)))
+        return at
+
+    def _split(self, data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> list[bytes]:
+        """Ids of texts that lie back to back, none of them empty."""
+        starts = groups(data, kind, ends)
+        offsets = np.r_[starts, len(data)].astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which = self._places(found.dictionary)[found.indices.to_numpy()]
+        n = self.sizes[which]
+        raw = self.flat[_ranges((np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[which], n)].tobytes()
+        cuts = [0, *(4 * np.cumsum(n, dtype=np.int64)[np.searchsorted(starts, ends) - 1]).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _pieces(self, text: bytes) -> list[bytes]:
+        """A long text cut before spaces that something follows, where groups start anyway."""
+        out, at = [], 0
+        while len(text) - at > PIECE and (found := _CUT.search(text, at + PIECE)):
+            out.append(text[at:found.start()])
+            at = found.start()
+        return [*out, text[at:]]
+
+    def _settle(self, waiting: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Appends the ids of each waiting piece to those of its text."""
+        data = np.frombuffer(b"".join([p for _, p in waiting]), np.uint8)
+        ends = np.cumsum([len(p) for _, p in waiting])
+        kind = byte_classes(data)
+        whole = np.zeros(len(waiting), bool)
+        whole[np.searchsorted(ends, np.flatnonzero(kind == UNSURE), "right")] = True
+        if whole.any():
+            fits = np.repeat(~whole, np.diff(ends, prepend=0))
+            data, kind = data[fits], kind[fits]
+            ends = np.cumsum([len(p) for (_, p), w in zip(waiting, whole) if not w])
+        split = iter(self._split(data, ends, kind) if len(data) else [])
+        alone = iter(self._library([p.decode() for (_, p), w in zip(waiting, whole) if w]))
+        for (i, _), w in zip(waiting, whole):
+            out[i].append(next(alone if w else split))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        split, met = [], set()
-        for t in texts:
-            if not self.cuts or any(a in t for a in self.added):
-                split.append(None)
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.splits or any(a in t for a in self.added):
+                out[i] = self._library([t])
                 continue
-            units = _UNITS.split(t)
-            units[0] = "\n" + units[0]
-            met.update(units)
-            split.append(units)
-        self._learn(self._absent(met))
-        return [self._library([t])[0] if s is None else b"".join(map(self.memo.__getitem__, s)) for t, s in zip(texts, split)]
+            for piece in self._pieces(t.encode()):
+                waiting.append((i, piece))
+                size += len(piece)
+                if size > PIECE:
+                    self._settle(waiting, out)
+                    waiting, size = [], 0
+        if waiting:
+            self._settle(waiting, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,7 +293,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _hash(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -183,29 +307,43 @@ def merkle(digests: list[bytes]) -> bytes:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Chunk ends: where the hash of the last WINDOW ids has its low bits zero, at
-    least LEAST and at most MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows of WINDOW ids whose hash has its low bits zero."""
+    n = len(ids) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         x = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
         x ^= x >> np.uint64(29)
         base = np.uint64(0xD1342543DE82EF95)
-        h = np.zeros(n - WINDOW + 1, np.uint64)
-        for k in range(WINDOW):
-            h = h * base + x[k:n - WINDOW + 1 + k]
+        h = x[:n].copy()
+        for k in range(1, WINDOW):
+            h *= base
+            h += x[k:n + k]
         h ^= h >> np.uint64(32)
-    ends = (np.flatnonzero(h % np.uint64(MEAN) == 0) + WINDOW).tolist()
-    out, last = [], 0
-    for e in [*ends, n]:
-        while e - last > MOST:
-            last += MOST
-            out.append(last)
-        if e > last and (e - last >= LEAST or e == n):
-            last = e
-            out.append(e)
+    return np.flatnonzero(h & np.uint64(MEAN - 1) == 0) + WINDOW
+
+
+def cuts(ids: np.ndarray, bounds: np.ndarray | None = None) -> list[list[int]] | list[int]:
+    """Chunk ends, at least LEAST and at most MOST ids apart, at the marks of the ids.
+    With `bounds`, the ends of texts that lie back to back: a list for each, counted
+    from its own start; a window never crosses a bound."""
+    if bounds is None:
+        return cuts(ids, np.array([len(ids)]))[0]
+    found, out, begin = marks(ids), [], 0
+    upto = np.searchsorted(found, bounds, "right")
+    since = np.searchsorted(found, np.r_[0, bounds[:-1]] + WINDOW)
+    for end, lo, hi in zip(bounds.tolist(), since.tolist(), upto.tolist()):
+        n, last, mine = end - begin, 0, []
+        for e in [*(found[lo:hi] - begin).tolist(), n]:
+            while e - last > MOST:
+                last += MOST
+                mine.append(last)
+            if e > last and (e - last >= LEAST or e == n):
+                last = e
+                mine.append(e)
+        out.append(mine)
+        begin = end
     return out
 
 
@@ -229,18 +367,18 @@ def _encode(docs: DataFrame, folder: str, path: str, end: int, seen_most: int =
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         pack, offset, seen, tail, enc = f"{uuid.uuid4().hex}.ids", 0, set(), np.array([end], "<u4").tobytes(), encoder(path)
-        gc.disable()  # the texts' units make no cycles, and being looked through again and again they take a fifth of the time
+        gc.disable()  # the groups make no cycles, and being looked through again and again they take time
         try:
             with fs.open_output_stream(f"{base}/{pack}", compression="zstd") as out:
                 for whole in batches:
                     gc.collect()
-                    for at in range(0, len(whole), 128):
-                        batch, rows = whole.slice(at, 128), []
-                        texts = [t or "" for t in batch.column(1).to_pylist()]
-                        for doc, data in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                            data += tail
+                    for at in range(0, len(whole), 2048):
+                        batch, rows = whole.slice(at, 2048), []
+                        coded = [x + tail for x in enc.encode(batch.column(1).to_pylist())]
+                        ends = cuts(np.frombuffer(b"".join(coded), "<u4"), np.cumsum([len(x) // 4 for x in coded]))
+                        for doc, data, mine in zip(batch.column(0).to_pylist(), coded, ends):
                             last, digests = 0, []
-                            for e in cuts(np.frombuffer(data, "<u4")):
+                            for e in mine:
                                 chunk = data[4 * last:4 * e]
                                 d = _hash(chunk)
                                 digests.append(d)
@@ -335,7 +473,7 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
                 if _hash(data) != bytes(digest):
                     raise ValueError(f"chunk differs from its digest in {group['pack'].iloc[0]}")
                 crcs.append(zlib.crc32(data))
-                seen.append(_hash(data))
+                seen.append(bytes(digest))
         if merkle(seen) != bytes(group["merkle"].iloc[0]) or len(seen) != group["n_chunks"].iloc[0]:
             raise ValueError(f"pack {group['pack'].iloc[0]} differs from its manifest")
         return pd.DataFrame({"digest": group["digest"], "n_ids": group["n_ids"], "crc": crcs})
@@ -351,28 +489,27 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     sorted part plus the totals of the parts before it."""
     recipes = spark.read.parquet(f"{folder}/recipes")
 
-    @F.pandas_udf("array<binary>")
-    def split(digests: pd.Series) -> pd.Series:
-        def one(d: bytes) -> list[bytes]:
-            return [d[k:k + 16] for k in range(0, len(d), 16)]
-
-        return digests.map(lambda d: one(bytes(d)))
-
-    parts = recipes.select("root", F.posexplode(split("digests")).alias("k", "digest")).join(read_chunks(spark, folder), "digest", "left")
+    pieces = F.expr(f"transform(sequence(0, cast(length(digests) div {DIGEST} - 1 as int)), k -> substring(digests, k * {DIGEST} + 1, {DIGEST}))")
+    parts = recipes.select("root", F.posexplode(pieces).alias("k", "digest")).join(read_chunks(spark, folder), "digest", "left")
     whole = parts.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "crc", "n_ids"))).alias("c"))
 
-    @F.pandas_udf("struct<root:binary,n:long,crc:long>")
-    def combine(lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in lists:
-            if any(x["n_ids"] is None for x in c):
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.flatten()
+            begin, (_, digest, crc, n) = int(ends[0]), (flat.field(k) for k in range(4))
+            if n.null_count:
                 raise ValueError("a recipe names a chunk that is not stored")
-            out.append((merkle([bytes(x["digest"]) for x in c]), sum(x["n_ids"] for x in c), joined_crc([(x["crc"], 4 * x["n_ids"]) for x in c])))
-        return pd.DataFrame(out, columns=["root", "n", "crc"])
-
-    checked = whole.select("root", combine("c").alias("v")).select(
-        "root", "v.n", "v.crc", F.when(F.col("v.root") != F.col("root"), F.raise_error(F.lit("a recipe differs from its root"))).alias("bad"),
-    ).where("bad is null").drop("bad")
+            digest, crc, n = digest.to_pylist(), crc.to_pylist(), n.to_pylist()
+            sums, crcs = [], []
+            for root, i, j in zip(b.column(0).to_pylist(), (ends[:-1] - begin).tolist(), (ends[1:] - begin).tolist()):
+                if merkle(digest[i:j]) != root:
+                    raise ValueError("a recipe differs from its root")
+                sums.append(sum(n[i:j]))
+                crcs.append(joined_crc([(c, 4 * x) for c, x in zip(crc[i:j], n[i:j])]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.int64()), pa.array(crcs, pa.int64())], ["root", "n", "crc"])
+
+    checked = whole.mapInArrow(combine, "root binary, n long, crc long")
     docs = spark.read.parquet(f"{folder}/documents").join(checked, "root")
     return _running(docs)
 
