@@ -10,18 +10,20 @@ from pathlib import Path
 # Extensions accepted by a folder scan.
 SUPPORTED_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff", ".heic", ".heif")
 
-# Environment variable -> (field, parser).
-_VARS = {
-    "RECEIPT_OCR_MAX_LONG_SIDE": ("max_long_side", int),
-    "RECEIPT_OCR_MIN_LONG_SIDE": ("min_long_side", int),
-    "RECEIPT_OCR_CLAHE_CLIP": ("clahe_clip", float),
-    "RECEIPT_OCR_ORIENTATION_FALLBACK": ("orientation_fallback", lambda v: v == "1"),
-    "RECEIPT_OCR_ROW_Y_OVERLAP": ("row_y_overlap", float),
-    "RECEIPT_OCR_ROW_GAP_MULT": ("row_gap_mult", float),
-    "RECEIPT_OCR_LOW_CONFIDENCE": ("low_confidence", float),
-    "RECEIPT_OCR_MATH_MODE": ("math_mode", lambda v: v == "1"),
-    "RECEIPT_OCR_MAX_BATCH": ("max_images_per_call", int),
-    "RECEIPT_OCR_OOM_DIVISOR": ("oom_divisor", int),
+# Setting -> (field, parser). The first group's names follow a prefix that a deployment chooses.
+_PREFIXED = {
+    "MAX_LONG_SIDE": ("max_long_side", int),
+    "MIN_LONG_SIDE": ("min_long_side", int),
+    "CLAHE_CLIP": ("clahe_clip", float),
+    "ORIENTATION_FALLBACK": ("orientation_fallback", lambda v: v == "1"),
+    "ROW_Y_OVERLAP": ("row_y_overlap", float),
+    "ROW_GAP_MULT": ("row_gap_mult", float),
+    "LOW_CONFIDENCE": ("low_confidence", float),
+    "MATH_MODE": ("math_mode", lambda v: v == "1"),
+    "MAX_BATCH": ("max_images_per_call", int),
+    "OOM_DIVISOR": ("oom_divisor", int),
+}
+_PLAIN = {
     "RECOGNITION_BATCH_SIZE": ("recognition_batch", int),
     "DETECTOR_BATCH_SIZE": ("detector_batch", int),
 }
@@ -41,8 +43,6 @@ class Settings:
     oom_divisor: int = 2
     recognition_batch: int = 96
     detector_batch: int = 8
-    # Receipts above this many fragments leave the JVM fold for the Arrow one.
-    fold_limit: int = 5000
 
 
 def read_dotenv(path: str | os.PathLike) -> dict[str, str]:
@@ -56,10 +56,11 @@ def read_dotenv(path: str | os.PathLike) -> dict[str, str]:
     return found
 
 
-def load(env: Mapping[str, str] | None = None, dotenv: str | os.PathLike = ".env") -> Settings:
+def load(env: Mapping[str, str] | None = None, dotenv: str | os.PathLike = ".env", prefix: str = "SLIPWEAVE_") -> Settings:
     """Real environment over .env over defaults. A malformed value raises ValueError."""
     merged = read_dotenv(dotenv) | dict(os.environ if env is None else env)
-    return Settings(**{field: parse(merged[var]) for var, (field, parse) in _VARS.items() if var in merged})
+    known = {prefix + name: found for name, found in _PREFIXED.items()} | _PLAIN
+    return Settings(**{field: parse(merged[name]) for name, (field, parse) in known.items() if name in merged})
 
 
 DEFAULT = Settings()

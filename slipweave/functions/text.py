@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Python's round(value, places) of a double: by its binary value, half to even.
+    F.round() rounds the shortest decimal text instead. Huge and non-finite values stay."""
+    half, unit = float(f"5e-{places + 1}"), float(f"1e-{places}")
+    # The formatter is off where no digit is left: the double next to half a unit may lie on either side of it.
+    up = F.abs(value) >= half if Fraction(half) > Fraction(5, 10 ** (places + 1)) else F.abs(value) > half
+    plain = F.regexp_replace(F.format_number(value, places), ",", "").cast("double")
+    return (
+        F.when(F.isnan(value) | (F.abs(value) >= 1e15), value)
+        .when(F.abs(value) < unit, F.when(up, F.signum(value) * unit).otherwise(F.lit(0.0)))
+        .otherwise(plain)
+    )
+
+
 def or_default(value: Column, default: Column, empty: Column) -> Column:
     """Python's `value or default` for one falsy literal besides null."""
     return F.coalesce(F.nullif(value, empty), default)

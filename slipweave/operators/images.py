@@ -1,11 +1,12 @@
 """Image-size and orientation rules as columns; pixels belong to the worker.
 
-Decoding, EXIF transposition, contrast enhancement and rotation need an imaging
-library, which a deployment supplies through `recognize.Preprocessor`.
+Decoding, EXIF transposition, contrast enhancement and rotation are in `pixels`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,6 @@ def exif_transposed(tag: Column) -> Column:
     return F.coalesce(tag, F.lit(1)) != 1
 
 
-def needs_orientation(transposed: Column, settings: Settings = DEFAULT) -> Column:
-    return F.lit(settings.orientation_fallback) & ~transposed
-
-
 def best_rotation(scored: DataFrame, key: str = "receipt_id") -> DataFrame:
     """Mean confidence of all lines by rotation (0 when none); a tie keeps the earliest."""
     per = scored.groupBy(key, "rotation").agg(F.coalesce(F.avg(F.coalesce("confidence", F.lit(0.0))), F.lit(0.0)).alias("score"))
@@ -45,10 +42,22 @@ def best_rotation(scored: DataFrame, key: str = "receipt_id") -> DataFrame:
     )
 
 
-def backoff(recognition: int, detector: int, divisor: int, retries: int = 3) -> list[tuple[int, int]]:
-    """Batch sizes tried while memory runs out; after the last one the error is raised."""
-    tried = [(recognition, detector)]
-    while len(tried) <= retries and tried[-1] != (1, 1):
-        r, d = tried[-1]
-        tried.append((max(1, r // divisor), max(1, d // divisor)))
-    return tried
+def backoff(recognition: int, detector: int, divisor: int, retries: int = 3) -> Iterator[tuple[int, int]]:
+    """Batch sizes to try while memory runs out; after the last one the error is raised.
+    Sizes are worked out as they are asked for, so a bad divisor hurts only then."""
+    yield recognition, detector
+    for _ in range(retries):
+        if recognition <= 1 and detector <= 1:
+            return
+        recognition, detector = max(1, recognition // divisor), max(1, detector // divisor)
+        yield recognition, detector
+
+
+def bounded(width: int, height: int, settings: Settings = DEFAULT) -> tuple[int, int, bool, bool]:
+    """resize_bounds() of one image, for workers."""
+    longer = max(width, height)
+    shrink, grow = longer > settings.max_long_side, longer < settings.min_long_side
+    if not (shrink or grow):
+        return width, height, False, False
+    scale = (settings.max_long_side if shrink else settings.min_long_side) / longer
+    return max(1, round(width * scale)), max(1, round(height * scale)), shrink, grow

@@ -20,6 +20,12 @@ def clean(fragments: DataFrame) -> DataFrame:
     )
 
 
+def kept_lines(lines: Column) -> Column:
+    """clean() of a list of model lines, as the raw payload holds them."""
+    kept = F.transform(lines, lambda x: F.struct(strip(x["text"]).alias("text"), x["bbox"].alias("bbox"), F.coalesce(x["confidence"], F.lit(0.0)).alias("confidence")))
+    return F.filter(kept, lambda x: x["text"] != "")
+
+
 def explode_lines(detections: DataFrame, key: str = "output_id") -> DataFrame:
     """Model output to one row per line; the list position becomes `seq`."""
     line = F.col("line")

@@ -1,121 +1,190 @@
 """Row reconstruction: cluster fragments into rows, then join each row.
 
 The clustering is an ordered fold: a fragment is compared only with the span
-covered so far by the newest row, so `lag` cannot express it. It runs as a
-higher-order aggregate over one sorted array per receipt: one shuffle, all in
-the JVM. Receipts above `fold_limit` fragments take the Arrow fold, whose state
-does not get copied at each step.
+covered so far by the newest row, so `lag` cannot express it. Fragments are
+shuffled once by receipt and sorted inside the partitions (Spark spills the
+sort); the fold then reads them in Arrow batches and keeps the span of one row,
+whatever the receipt's size. Joining keeps the fragments of one row as well.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..conf import DEFAULT, Settings
-from .geometry import char_width, overlap_ratio, y_center
 from ..functions.text import strip
+from .geometry import char_width, y_center
 
-_ROWED = "array<struct<row_no:int,x1:double,yc:double,seq:int,x2:double,cw:double,text:string,y1:double,y2:double,confidence:double>>"
-
-
-def _gathered(fragments: DataFrame, key: str) -> DataFrame:
-    part = F.struct(
-        y_center(F.col("y1"), F.col("y2")).alias("yc"), "seq", "x1", "x2", "y1", "y2",
-        char_width(F.col("text"), F.col("x1"), F.col("x2")).alias("cw"),
-        strip(F.col("text")).alias("text"), "confidence",
-    )
-    return fragments.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+_PLACE = ("x1", "yc", "seq", "x2", "cw", "text", "y1", "y2", "confidence")
+ROW_BREAK, WIDE_GAP, GAP = "\n", "  ", " "
 
 
-def _fold(parts: Column, threshold: float) -> Column:
-    start = F.struct(
-        F.lit(0).alias("row_no"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"),
-        F.expr(f"cast(array() as {_ROWED})").alias("out"),
+def _ordered(fragments: DataFrame, key: str) -> DataFrame:
+    """(key, yc, seq, x1, ...) dealt by receipt, top to bottom; ties keep input order."""
+    parts = fragments.select(
+        key, y_center(F.col("y1"), F.col("y2")).alias("yc"), F.col("seq").cast("int").alias("seq"), "x1", "x2", "y1", "y2",
+        char_width(F.col("text"), F.col("x1"), F.col("x2")).alias("cw"), strip(F.col("text")).alias("text"), "confidence",
     )
+    return parts.repartition(key).sortWithinPartitions(key, "yc", "seq")
 
-    def step(acc: Column, f: Column) -> Column:
-        joins = (acc["row_no"] > 0) & (overlap_ratio(acc["lo"], acc["hi"], f["y1"], f["y2"]) >= threshold)
-        row = F.when(joins, acc["row_no"]).otherwise(acc["row_no"] + 1)
-        placed = F.struct(row.alias("row_no"), *[f[c].alias(c) for c in ("x1", "yc", "seq", "x2", "cw", "text", "y1", "y2", "confidence")])
-        return F.struct(
-            row.alias("row_no"),
-            F.when(joins, F.least(acc["lo"], f["y1"])).otherwise(f["y1"]).alias("lo"),
-            F.when(joins, F.greatest(acc["hi"], f["y2"])).otherwise(f["y2"]).alias("hi"),
-            F.concat(acc["out"], F.array(placed)).cast(_ROWED).alias("out"),
-        )
-
-    return F.aggregate(parts, start, step)["out"]
 
+class Fold:
+    """Row numbers of fragments that come receipt by receipt in reading order."""
 
-def fold_in_arrow(threshold: float):
-    """The same fold for very long receipts: linear state, one Arrow batch at a time."""
+    def __init__(self, threshold: float):
+        self.threshold, self.key, self.row, self.low, self.high = threshold, None, 0, 0.0, 0.0
 
-    def place(parts: list[dict]) -> list[dict]:
-        out, row, lo, hi = [], 0, 0.0, 0.0
-        for f in parts:
-            a, b = f["y1"], f["y2"]
-            shared, shorter = min(hi, b) - max(lo, a), min(hi - lo, b - a)
+    def numbers(self, keys: list, tops: list[float], bottoms: list[float]) -> list[int]:
+        """From 1 in each receipt; the state is carried to the next batch."""
+        out, threshold = [], self.threshold
+        current, row, low, high = self.key, self.row, self.low, self.high
+        for key, top, bottom in zip(keys, tops, bottoms):
+            if key != current:
+                current, row = key, 0
+            shared = (high if high < bottom else bottom) - (low if low > top else top)
+            shorter = high - low if high - low < bottom - top else bottom - top
+            # Spans without a common part, or without a height, have no ratio: it counts as 0.
             if row and (shared / shorter if shared > 0 and shorter > 0 else 0.0) >= threshold:
-                lo, hi = min(lo, a), max(hi, b)
+                low, high = min(low, top), max(high, bottom)
             else:
-                row, lo, hi = row + 1, a, b
-            out.append({"row_no": row, **f})
+                row, low, high = row + 1, top, bottom
+            out.append(row)
+        self.key, self.row, self.low, self.high = current, row, low, high
         return out
 
-    @F.pandas_udf(_ROWED)
-    def run(col: pd.Series) -> pd.Series:
-        order = ("row_no", "x1", "yc", "seq", "x2", "cw", "text", "y1", "y2", "confidence")
-        return col.map(lambda ps: [{k: p[k] for k in order} for p in place(list(ps))])
 
-    return run
+def _type(frame: DataFrame, key: str) -> str:
+    return frame.schema[key].dataType.simpleString()
 
 
-def placed(fragments: DataFrame, key: str = "receipt_id", threshold: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """(key, rows): every fragment with its row number, in reading order."""
+def group_rows(fragments: DataFrame, key: str = "receipt_id", threshold: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """One row per fragment with `row_no` from 1, top to bottom."""
+    limit = settings.row_y_overlap if threshold is None else threshold
+    names = [key, "row_no", *_PLACE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(limit)
+        for b in batches:
+            numbers = fold.numbers(*(b.column(c).to_pylist() for c in (key, "y1", "y2")))
+            columns = {c: b.column(c) for c in (key, *_PLACE)} | {"row_no": pa.array(numbers, pa.int32())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    kinds = f"{key} {_type(fragments, key)}, row_no int, x1 double, yc double, seq int, x2 double, cw double, text string, y1 double, y2 double, confidence double"
+    return _ordered(fragments, key).mapInArrow(run, kinds)
+
+
+def joined(row: list[tuple[float, float, float, str]], multiplier: float) -> str:
+    """Text of one row from (x1, x2, cw, text), left to right; equal x1 keep their order.
+    A gap wider than `multiplier` mean widths of its two neighbours shows as two spaces."""
+    out, x2, cw = [], 0.0, 0.0
+    for k, (left, right, width, text) in enumerate(sorted(row, key=lambda f: f[0])):
+        if k:
+            out.append(WIDE_GAP if left - x2 > multiplier * ((cw + width) / 2.0) else GAP)
+        out.append(text)
+        x2, cw = right, width
+    return "".join(out)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], key: str, multiplier: float, numbers) -> Iterator[tuple]:
+    """(key, row_no, text, confidences) of each row, in order, from ordered fragments."""
+    name, row, conf = None, [], []
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in (key, "x1", "x2", "cw", "text", "confidence")]
+        for k, n, x1, x2, cw, text, c in zip(cols[0], numbers(b), *cols[1:]):
+            if name != (k, n):
+                if name:
+                    yield (*name, joined(row, multiplier), conf)
+                name, row, conf = (k, n), [], []
+            row.append((x1, x2, cw, text))
+            conf.append(0.0 if c is None else c)
+    if name:
+        yield (*name, joined(row, multiplier), conf)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    for r in rows:
+        held.append(r)
+        if len(held) >= size:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
+def _schema(frame: DataFrame, key: str, *fields: tuple[str, pa.DataType]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.schema([(key, to_arrow_type(frame.schema[key].dataType)), *fields])
+
+
+def row_texts(fragments: DataFrame, key: str = "receipt_id", threshold: float | None = None, multiplier: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """(key, row_no, row_text): grouping and joining in one pass."""
     limit = settings.row_y_overlap if threshold is None else threshold
-    gathered = _gathered(fragments, key)
-    small = gathered.where(F.size("parts") <= settings.fold_limit).select(key, F.array_sort(_fold(F.col("parts"), limit)).alias("rows"))
-    large = gathered.where(F.size("parts") > settings.fold_limit).select(key, F.array_sort(fold_in_arrow(limit)("parts")).alias("rows"))
-    return small.unionByName(large)
+    wide = settings.row_gap_mult if multiplier is None else multiplier
+    schema = _schema(fragments, key, ("row_no", pa.int32()), ("row_text", pa.string()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(limit)
+        found = _rows(batches, key, wide, lambda b: fold.numbers(*(b.column(c).to_pylist() for c in (key, "y1", "y2"))))
+        yield from _batches((r[:3] for r in found), schema)
 
-def group_rows(fragments: DataFrame, key: str = "receipt_id", threshold: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """One row per fragment with `row_no` from 1, top to bottom."""
-    return placed(fragments, key, threshold, settings).select(key, F.inline("rows"))
+    return _ordered(fragments, key).mapInArrow(run, f"{key} {_type(fragments, key)}, row_no int, row_text string")
 
 
-def _joined(rows: Column, multiplier: float) -> Column:
-    start = F.struct(F.lit(0).alias("row_no"), F.lit(0.0).alias("x2"), F.lit(0.0).alias("cw"), F.expr("cast(array() as array<string>)").alias("out"))
+def join_rows(grouped: DataFrame, key: str = "receipt_id", multiplier: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """(key, row_no, row_text) from group_rows, whose order within a row may be lost."""
+    wide = settings.row_gap_mult if multiplier is None else multiplier
+    schema = _schema(grouped, key, ("row_no", pa.int32()), ("row_text", pa.string()))
 
-    def step(acc: Column, f: Column) -> Column:
-        wide = (f["x1"] - acc["x2"]) > multiplier * ((acc["cw"] + f["cw"]) / 2.0)
-        gap = (
-            F.when(acc["row_no"] == 0, "")
-            .when(acc["row_no"] != f["row_no"], "\n")
-            .when(wide, "  ")
-            .otherwise(" ")
-        )
-        return F.struct(f["row_no"].alias("row_no"), f["x2"].alias("x2"), f["cw"].alias("cw"), F.concat(acc["out"], F.array(F.concat(gap, f["text"]))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _rows(batches, key, wide, lambda b: b.column("row_no").to_pylist())
+        yield from _batches((r[:3] for r in found), schema)
 
-    return F.array_join(F.aggregate(rows, start, step)["out"], "")
+    parts = grouped.select(key, F.col("row_no").cast("int").alias("row_no"), *_PLACE)
+    parts = parts.repartition(key, "row_no").sortWithinPartitions(key, "row_no", "yc", "seq")
+    return parts.mapInArrow(run, f"{key} {_type(grouped, key)}, row_no int, row_text string")
 
 
-def reconstruct(fragments: DataFrame, key: str = "receipt_id", settings: Settings = DEFAULT) -> DataFrame:
-    """(key, text): rows joined by a newline. Callers left-join to keep empty receipts."""
-    return placed(fragments, key, None, settings).select(key, _joined(F.col("rows"), settings.row_gap_mult).alias("text"))
+def receipts(fragments: DataFrame, key: str = "receipt_id", settings: Settings = DEFAULT) -> DataFrame:
+    """(key, text, num_lines, avg_confidence) from cleaned fragments, in one shuffle:
+    rows joined by a newline, the number of fragments and their exact mean. Callers
+    left-join to keep receipts without fragments."""
+    limit, wide = settings.row_y_overlap, settings.row_gap_mult
+    schema = _schema(fragments, key, ("text", pa.string()), ("num_lines", pa.int32()), ("avg_confidence", pa.float64()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(limit)
+        found = _rows(batches, key, wide, lambda b: fold.numbers(*(b.column(c).to_pylist() for c in (key, "y1", "y2"))))
 
-def join_rows(grouped: DataFrame, key: str = "receipt_id", multiplier: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """(key, row_no, row_text) from group_rows, by an adjacent-pair window."""
-    mult = settings.row_gap_mult if multiplier is None else multiplier
-    w = Window.partitionBy(key, "row_no").orderBy("x1", "yc", "seq")
-    gap = F.col("x1") - F.lag("x2").over(w)
-    mean = (F.lag("cw").over(w) + F.col("cw")) / 2.0
-    part = F.concat(F.when(gap.isNull(), "").when(gap > mult * mean, "  ").otherwise(" "), "text")
-    parts = grouped.select(key, "row_no", F.struct("x1", "yc", "seq", part.alias("part")).alias("p"))
-    return parts.groupBy(key, "row_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("row_text")
-    )
+        def whole() -> Iterator[tuple]:
+            lines: list[str] = []
+            conf: list[float] = []
+            name = None
+            for k, n, text, mine in found:
+                if n == 1:
+                    if lines:
+                        yield name, ROW_BREAK.join(lines), len(conf), math.fsum(conf) / len(conf)
+                    name, lines, conf = k, [], []
+                lines.append(text)
+                conf += mine
+            if lines:
+                yield name, ROW_BREAK.join(lines), len(conf), math.fsum(conf) / len(conf)
+
+        yield from _batches(whole(), schema, 512)
+
+    return _ordered(fragments, key).mapInArrow(run, f"{key} {_type(fragments, key)}, text string, num_lines int, avg_confidence double")
+
+
+def reconstruct(fragments: DataFrame, key: str = "receipt_id", settings: Settings = DEFAULT) -> DataFrame:
+    """(key, text): rows joined by a newline. Callers left-join to keep empty receipts."""
+    return receipts(fragments, key, settings).select(key, "text")

@@ -12,8 +12,9 @@ def not_failed(manifest: DataFrame) -> DataFrame:
 
 
 def build(manifest: DataFrame, texts: DataFrame) -> DataFrame:
-    """One record per surviving manifest line with a text; duplicates stay."""
-    return not_failed(manifest).join(texts, "output_id").select("pos", "output_id", F.col("text").alias("input"))
+    """One record per surviving manifest line with a text; duplicates stay. `texts` has
+    each id once."""
+    return not_failed(manifest).select("pos", "output_id").join(texts, "output_id").select("pos", "output_id", F.col("text").alias("input"))
 
 
 def build_from_listing(texts: DataFrame) -> DataFrame:
@@ -37,3 +38,9 @@ def summary(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count("*").alias("total"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"),
     )
+
+
+def skipped(inputs: DataFrame, remaining: DataFrame) -> DataFrame:
+    """(found, todo, skipped): how many inputs there are, are left and were done before."""
+    left = remaining.agg(F.count("*").alias("todo"))
+    return inputs.agg(F.count("*").alias("found")).join(left, F.lit(True)).withColumn("skipped", F.col("found") - F.col("todo"))

@@ -43,7 +43,9 @@ select doc_id, 'in/' || source || case when doc_id % 7 = 0 then '-b/' else '/' e
 from {d}
 """
 
-TEXTS = "select 'r' || cast(doc_id as varchar(20)) output_id, text from {d} where doc_id % 3 <> 0"
+TEXTS = "select 'r' || cast(doc_id as varchar(20)) output_id, text from {d}"
+# Ids that an earlier run has done: a part of them, so that some are left to do.
+DONE = "select 'r' || cast(doc_id as varchar(20)) output_id from {d} where doc_id % 3 <> 0"
 
 MANIFEST = """
 select event_id pos, 'r' || cast(user_id as varchar(20)) output_id,

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..conf import DEFAULT, SUPPORTED_EXTENSIONS
-from ..functions.text import file_name, path_parts, stem
+from ..functions.text import file_name, or_default, path_parts, stem
 from ..operators import geometry, images, quality, rows
 from ..operators.ordinal import with_ordinal
 from ..schemas import RAW
 from ..sources import sinks
-from ..sources.files import supported, table
-from . import dataset
-from .fixtures import INPUTS, MANIFEST, RECEIPTS, TEXTS, duck, view
+from ..sources.files import latest, supported, table
+from . import dataset, pipeline
+from .fixtures import DONE, INPUTS, MANIFEST, RECEIPTS, TEXTS, duck, view
 
-_A, _B, _T, _C = (f"({duck(x)})" for x in (RECEIPTS, INPUTS, TEXTS, MANIFEST))
+_A, _B, _T, _C, _D = (f"({duck(x)})" for x in (RECEIPTS, INPUTS, TEXTS, MANIFEST, DONE))
 
 # The code points stripped from texts, as DuckDB's trim takes them.
 _WS = " || ".join(f"chr({n})" for n in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
@@ -91,12 +91,24 @@ def row_group(spark, d):
 
 
 def row_join(spark, d):
+    return rows.row_texts(_clean(spark, d))
+
+
+def row_join_of_groups(spark, d):
     return rows.join_rows(rows.group_rows(_clean(spark, d)))
 
 
+def _rebuilt(spark, d):
+    """Text and statistics of every receipt from one gathering of its fragments."""
+    found = rows.receipts(_clean(spark, d))
+    return _receipts(spark, d).join(found, "receipt_id", "left").select(
+        "receipt_id", F.coalesce("num_lines", F.lit(0)).alias("num_lines"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
 def reconstruct_text(spark, d):
-    text = rows.reconstruct(_clean(spark, d))
-    return _receipts(spark, d).join(text, "receipt_id", "left").select("receipt_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _rebuilt(spark, d).select("receipt_id", "text")
 
 
 def receipt_stats(spark, d):
@@ -109,7 +121,7 @@ def status(spark, d):
 
 def flagship(spark, d):
     """Receipts with text, statistics and status."""
-    return quality.with_status(receipt_stats(spark, d)).join(reconstruct_text(spark, d), "receipt_id")
+    return quality.with_status(_rebuilt(spark, d))
 
 
 def manifest(spark, d):
@@ -159,9 +171,57 @@ def batch_chunks(spark, d):
     return ranked.select("doc_id", F.floor(F.col("pos") / DEFAULT.max_images_per_call).alias("chunk"), (F.col("pos") % DEFAULT.max_images_per_call).alias("slot"))
 
 
+def _inputs(spark, d):
+    return supported(view(spark, d, INPUTS)).withColumn("output_id", stem(F.col("path")))
+
+
 def incremental(spark, d):
-    inputs = supported(view(spark, d, INPUTS)).withColumn("output_id", stem(F.col("path")))
-    return dataset.todo(inputs, view(spark, d, TEXTS)).select("doc_id", "output_id")
+    return dataset.todo(_inputs(spark, d), view(spark, d, DONE)).select("doc_id", "output_id")
+
+
+def overwrite(spark, d):
+    return dataset.todo(_inputs(spark, d), view(spark, d, DONE), overwrite=True).select("doc_id", "output_id")
+
+
+def skipped_count(spark, d):
+    inputs = _inputs(spark, d)
+    return dataset.skipped(inputs, dataset.todo(inputs, view(spark, d, DONE)))
+
+
+def latest_text(spark, d):
+    """Every document is a text of one of 400 ids, in ten runs; the last one written counts."""
+    written = table(spark, d, "documents").select(
+        F.concat(F.lit("r"), F.col("doc_id") % 400).alias("output_id"), "text", F.lit(None).cast("string").alias("raw"),
+        (F.col("doc_id") % 10).alias("run"), F.col("doc_id").alias("place"),
+    )
+    return latest(written).select("output_id", "text")
+
+
+def manifest_order(spark, d):
+    """Lines by run, then chunk by chunk, in each the failed images first."""
+    c = _union(spark, d)
+    size = DEFAULT.max_images_per_call
+    lines = c.select((F.col("pos") % 3).alias("run"), pipeline.place(F.col("chunk"), F.col("phase"), F.col("pos"), size).alias("place"), "pos", "output_id")
+    return with_ordinal(lines, "run", "place", name="line").select("line", "pos", "output_id")
+
+
+def output_paths(spark, d):
+    paths = sinks.output_paths("out", stem(F.col("path")))
+    return view(spark, d, INPUTS).select("doc_id", paths["raw_json"].alias("raw_json"), paths["text"].alias("text_file"))
+
+
+def exif_flag(spark, d):
+    tag = F.when(F.col("doc_id") % 11 < 10, F.col("doc_id") % 11).cast("int")
+    return view(spark, d, INPUTS).select("doc_id", images.exif_transposed(tag).alias("exif_transposed"))
+
+
+def default_values(spark, d):
+    """An empty text and a zero fall through to the default, as a missing one does."""
+    name, most = F.when(F.col("doc_id") % 3 > 0, F.col("source")), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4)
+    return table(spark, d, "documents").select(
+        "doc_id", or_default(F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(name), F.lit("r"), F.lit("")).alias("output_id"),
+        or_default(most, F.lit(16).cast("long"), F.lit(0).cast("long")).alias("max_batch"),
+    )
 
 
 def jsonl_dataset(spark, d):
@@ -212,7 +272,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "status": status, "flagship": flagship, "manifest": manifest, "raw_payload": raw_payload, "ext_filter": ext_filter,
     "path_sort": path_sort, "batch_chunks": batch_chunks, "incremental": incremental, "jsonl_dataset": jsonl_dataset,
     "jsonl_fallback": jsonl_fallback, "error_union": error_union, "run_summary": run_summary, "orientation": orientation,
-    "resize_bounds": resize_bounds, "oom_schedule": oom_schedule, "file_stem": file_stem,
+    "resize_bounds": resize_bounds, "oom_schedule": oom_schedule, "file_stem": file_stem, "row_join_of_groups": row_join_of_groups,
+    "overwrite": overwrite, "skipped_count": skipped_count, "latest_text": latest_text, "manifest_order": manifest_order,
+    "output_paths": output_paths, "exif_flag": exif_flag, "default_values": default_values,
 }
 
 _EXT = ", ".join(f"'{x}'" for x in SUPPORTED_EXTENSIONS)
@@ -227,20 +289,31 @@ ORACLE: dict[str, str] = {
     "y_overlap": f"with {_CLEAN}, p as (select *, lag(y1) over w p1, lag(y2) over w p2 from f window w as (partition by receipt_id order by seq)) select receipt_id, seq, {_RATIO.format('p2, y2', 'p1, y1', 'p2 - p1, y2 - y1')} ratio from p where p1 is not null",
     "row_group": f"with recursive {_CLEAN}, {_FOLD} select receipt_id, seq, row_no from rowed",
     "row_join": f"with recursive {_CLEAN}, {_FOLD}, {_JOINED} select receipt_id, row_no, row_text from lines",
+    "row_join_of_groups": f"with recursive {_CLEAN}, {_FOLD}, {_JOINED} select receipt_id, row_no, row_text from lines",
     "reconstruct_text": f"with recursive {_CLEAN}, {_FOLD}, {_JOINED} select o_orderkey receipt_id, coalesce(text, '') text from orders left join {_TEXT_OUT} t on receipt_id = o_orderkey",
     "receipt_stats": f"with {_CLEAN}, {_STATS} select * from st",
     "status": f"with {_CLEAN}, {_STATS} select receipt_id, status from q",
     "flagship": f"with recursive {_CLEAN}, {_FOLD}, {_JOINED}, {_STATS} select q.*, coalesce(text, '') text from q left join {_TEXT_OUT} t using (receipt_id)",
     "manifest": f"""with {_CLEAN}, {_STATS}
-select 'in/r' || receipt_id || '.jpg' file, 'r' || receipt_id output_id, status, num_lines, round(avg_confidence, 4) avg_confidence,
-       cast(null as varchar) error, round((receipt_id % 64) / 64.0, 3) duration_s from q
+select 'in/r' || receipt_id || '.jpg' file, 'r' || receipt_id output_id, status, num_lines, cast(format('{{:.4f}}', avg_confidence) as double) avg_confidence,
+       cast(null as varchar) error, cast(format('{{:.3f}}', (receipt_id % 64) / 64.0) as double) duration_s from q
 union all select 'in/' || output_id || '.png', output_id, status, 0, 0.0, 'cannot decode', 0.0 from {_C} where status = 'error'""",
     "raw_payload": f"""with {_CLEAN} select receipt_id, 'in/r' || receipt_id || '.jpg' source_image, true contrast_enhanced, cast(count(*) as int) n,
        arg_min(text, seq) first_text, sum(x2) sum_x2, sum(confidence) sum_confidence from f group by receipt_id""",
     "ext_filter": f"with {_OK} select doc_id, path from b",
     "path_sort": f"select doc_id, path, row_number() over (order by string_split(path, '/'), doc_id) - 1 pos from {_B}",
     "batch_chunks": f"with {_OK}, p as (select doc_id, row_number() over (order by string_split(path, '/'), doc_id) - 1 pos from b) select doc_id, pos // 16 chunk, pos % 16 slot from p",
-    "incremental": f"with {_OK}, i as (select doc_id, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) output_id from b) select * from i where output_id not in (select output_id from {_T})",
+    "incremental": f"with {_OK}, i as (select doc_id, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) output_id from b) select * from i where output_id not in (select output_id from {_D})",
+    "overwrite": f"with {_OK} select doc_id, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) output_id from b",
+    "skipped_count": f"""with {_OK}, i as (select regexp_extract(path, '([^/]+)\\.[^.]*$', 1) in (select output_id from {_D}) done from b)
+select count(*) found, count(*) filter (not done) todo, count(*) filter (done) skipped from i""",
+    "latest_text": "select 'r' || doc_id % 400 output_id, arg_max(text, doc_id % 10 * 1000000000 + doc_id) text from documents group by 1",
+    "manifest_order": f"""select row_number() over (order by pos % 3, pos // 16, status is distinct from 'error', pos) - 1 line, pos, output_id from {_C}""",
+    "output_paths": f"""with i as (select doc_id, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) s from {_B})
+select doc_id, 'out/' || s || '/raw.json' raw_json, 'out/' || s || '/text.txt' text_file from i""",
+    "exif_flag": f"select doc_id, doc_id % 11 not in (1, 10) exif_transposed from {_B}",
+    "default_values": """select doc_id, case when doc_id % 7 = 0 or doc_id % 3 = 0 or coalesce(source, '') = '' then 'r' else source end output_id,
+       case when doc_id % 5 = 0 or doc_id % 4 = 0 then 16 else doc_id % 4 end max_batch from documents""",
     "jsonl_dataset": f"select pos, output_id, text \"input\" from {_C} join {_T} t using (output_id) where status is distinct from 'error'",
     "jsonl_fallback": f"select output_id, text \"input\" from {_T}",
     "error_union": f"select pos, output_id, pos // 16 chunk, cast(status is distinct from 'error' as int) phase, (pos // 16) * 32 + 16 * cast(status is distinct from 'error' as int) + pos % 16 order_key from {_C}",

@@ -36,6 +36,9 @@ MANIFEST = T.StructType([
     T.StructField("avg_confidence", T.DoubleType()),
     T.StructField("error", T.StringType()),
     T.StructField("duration_s", T.DoubleType()),
+    # Order columns of our own: the run, and the place in it.
+    T.StructField("run", T.LongType()),
+    T.StructField("place", T.LongType()),
 ])
 RESULT = T.StructType([
     T.StructField("output_id", T.StringType()),
@@ -58,8 +61,14 @@ DETECTIONS = T.StructType([
     T.StructField("text_lines", T.ArrayType(TEXT_LINE)),
     T.StructField("error", T.StringType()),
     T.StructField("duration_s", T.DoubleType()),
+    T.StructField("peak_memory", T.LongType()),
 ])
 DATASET = T.StructType([T.StructField("input", T.StringType())])
+LISTING = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("folder", T.BooleanType()),
+])
 BINARY_FILE = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modificationTime", T.TimestampType()),
