@@ -1,25 +1,33 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's streaming parser turns a page into lines, one per block;
-for each line the text-to-tag ratio is its characters over its tags. The ratios
-are smoothed with a Gaussian along the page, and lines whose own and smoothed
-ratios reach one standard deviation of the smoothed ones are content. A content region is the article
-(or main part) around such lines; without one, the innermost container that
-holds them all, from the first to the last such line when that is the body.
-Inside a region every line stays, however short, so nothing of the text is lost.
+a line's text-to-tag ratio is its characters over its tags, taken as a logarithm
+so that a long block does not hide short ones. The ratios are smoothed with a
+Gaussian along the page, and two thresholds cluster the lines: a line that
+reaches one standard deviation of the smoothed ratios, itself and smoothed, is a
+seed, and a region is a run of lines whose smoothed ratio reaches a part (LOW) of
+it and that holds a seed. The smoothing also lifts what stands next to a region, so
+lines at a region's ends stay only if they are seeds or stand in a container of
+its seeds.
 
-Lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never candidates; these are known by tag, role,
-or a word of the class or id.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are known by tag, role, or a word of the class or id. Their lines
+have the ratio zero, which parts regions, and never get into the text. A form, or
+a part marked by a layout word, that holds nearly all text of a page (WRAPS) is
+the frame of the article and not what the mark says: it is looked through.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags
 are tolerated; character references are decoded, also without a semicolon where
-browsers do; equal rows give equal results; other columns are ignored.
+browsers do; pages nested as deep as they are long take memory and time in
+proportion to their length; equal rows give equal results; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -44,50 +52,75 @@ REGIONS = frozenset(("article", "main"))
 WRAPPERS = frozenset(("html", "body", *REGIONS))
 #: Blocks that may stand in a head; any other one ends it.
 HEAD = frozenset("title style script noscript template".split())
-SIGMA = 1.0
+#: Marks of layout, which a page's frame may carry, too.
+LAYOUT = frozenset("sidebar side widget widgets banner header masthead login search modal overlay toolbar skip".split())
+#: Blocks that hold text and no blocks: their container is the element around them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption summary figcaption pre".split())
+#: Width of the smoothing in lines, the lower threshold as a part of the upper one, the share of text that makes a frame.
+SIGMA, LOW, WRAPS = 1.0, 1 / 4, 0.8
+KEPT, FRAME, GONE = range(3)
 
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # An open tag of the same family ends these.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in SKIPPED:
-        return True
+def _kind(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """What an element is by its tag and marks: GONE, or FRAME if it may be the page's."""
+    if tag in SKIPPED and tag not in ("form", "fieldset"):
+        return GONE
+    found = FRAME if tag in SKIPPED else KEPT
     for name, value in attrs:
-        if name == "role" and value and ROLES & set(value.lower().split()):
-            return True
-        if name in ("class", "id") and value and tag not in WRAPPERS:
+        if not value:
+            continue
+        if name == "role" and (roles := ROLES & set(value.lower().split())):
+            found = max(found, FRAME if roles <= {"form", "search"} else GONE)
+        elif name in ("class", "id"):
             words = {w.lower() for w in _WORDS.findall(value)}
-            if words & MARKS and not words & {"has", "no", "with", "without"}:
-                return True
-        if tag in REGIONS and name in ("class", "id") and value and {"comment", "comments", "reply"} & {w.lower() for w in _WORDS.findall(value)}:
-            return True
-    return False
+            if tag in WRAPPERS:
+                if tag in REGIONS and words & {"comment", "comments", "reply"}:
+                    return GONE
+            elif (marks := words & MARKS) and not words & {"has", "no", "with", "without"}:
+                found = max(found, FRAME if marks <= LAYOUT else GONE)
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, path of containers) per block outside skipped parts."""
+    """Collects the blocks of a page as lines, and the elements they stand in.
+
+    Elements are numbered as they open and hold the number of the element around them
+    and of the innermost FRAME, so a line needs one number and no path."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, whether it starts a skipped part
-        self.skipping = self.number = self.tags = 0
+        self.tag, self.parent, self.frame, self.gone = ["html"], [-1], [-1], [False]
+        self.start, self.end = [0], [None]  # lines of each element
+        self.open, self.counts = [0], Counter()
+        self.tags = 0
         self.data: list[str] = []
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...]]] = []
+        self.text: list[str] = []
+        self.ratio: list[float] = []
+        self.element: list[int] = []
 
     def _flush(self) -> None:
-        text = " ".join("".join(self.data).split())
-        if text:
-            self.lines.append((text, self.tags, tuple((t, n) for t, n, _ in self.open)))
+        gone = self.gone[self.open[-1]]
+        text = "" if gone else " ".join("".join(self.data).split())
+        if text or gone and not all(map(str.isspace, self.data)):
+            self.text.append(text)
+            self.ratio.append(math.log1p(len(text) / max(1, self.tags)))
+            self.element.append(self.open[-1])
             self.tags = 0
         self.data = []
 
     def _pop(self, at: int) -> None:
-        for _, _, skipped in self.open[at:]:
-            self.skipping -= skipped
+        for e in self.open[at:]:
+            self.end[e] = len(self.text)
+            self.counts[self.tag[e]] -= 1
         del self.open[at:]
 
+    def _top(self) -> str:
+        return self.tag[self.open[-1]] if len(self.open) > 1 else ""
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
@@ -97,22 +130,23 @@ class Lines(HTMLParser):
         self._flush()
         if tag in VOID:
             return
-        if tag not in HEAD and self.open and self.open[-1][0] == "head":  # its end tag may be left out
+        if tag not in HEAD and self._top() == "head":  # its end tag may be left out
             self._pop(len(self.open) - 1)
-        if tag == "p" or tag in _CLOSES:
-            ends = _CLOSES[tag]
-            if self.open and self.open[-1][0] in ends:
-                self._pop(len(self.open) - 1)
-        elif self.open and self.open[-1][0] == "p":  # a block ends an open paragraph
+        if self._top() in _CLOSES.get(tag, {"p"}):  # any block ends an open paragraph
             self._pop(len(self.open) - 1)
-        skipped = _marked(tag, attrs)
-        self.number += 1
-        self.open.append((tag, self.number, skipped))
-        self.skipping += skipped
+        kind, around = _kind(tag, attrs), self.open[-1]
+        self.open.append(len(self.tag))
+        self.frame.append(len(self.tag) if kind == FRAME else self.frame[around])
+        self.gone.append(kind == GONE or self.gone[around])
+        self.tag.append(tag)
+        self.parent.append(around)
+        self.start.append(len(self.text))
+        self.end.append(None)
+        self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in SKIPPED and self.open and self.open[-1][0] == tag:
+        if tag in SKIPPED and self._top() == tag:
             self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
@@ -120,22 +154,44 @@ class Lines(HTMLParser):
         if tag not in BLOCKS:
             return
         self._flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                break
+        if self.counts[tag]:
+            at = len(self.open) - 1
+            while self.tag[self.open[at]] != tag:
+                at -= 1
+            self._pop(at)
 
     def handle_data(self, data):
-        if not self.skipping:
-            self.data.append(data)
+        self.data.append(data)
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
 
-    def finish(self) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
+    def finish(self) -> None:
         self.close()
         self._flush()
-        return self.lines
+        self._pop(0)
+
+    def removed(self) -> np.ndarray:
+        """Lines of parts that are not main text, once the page's frame is looked through."""
+        chars = [0] * len(self.tag)
+        total = 0
+        for text, e in zip(self.text, self.element):
+            if not self.gone[e]:
+                total += len(text)
+                if self.frame[e] >= 0:
+                    chars[self.frame[e]] += len(text)
+        for e in range(len(self.tag) - 1, 0, -1):  # inner frames add to the ones around them
+            if chars[e] and (outer := self.frame[self.parent[e]]) >= 0:
+                chars[outer] += chars[e]
+        hidden = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            mine = self.frame[e] == e and chars[e] < WRAPS * total
+            hidden[e] = mine or hidden[self.parent[e]]
+        return np.array([self.gone[e] or hidden[e] for e in self.element], bool)
+
+    def containers(self) -> np.ndarray:
+        """The element around each line's own block."""
+        return np.array([self.parent[e] if self.tag[e] in LEAVES else e for e in self.element])
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -145,35 +201,44 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[r:-r] / np.convolve(np.ones(len(values)), kernel)[r:-r]
 
 
+def regions(ratio: np.ndarray, removed: np.ndarray, sigma: float = SIGMA, low: float = LOW) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(seeds, runs): a run [i, j) is a region; from the ratios alone."""
+    own = np.where(removed, 0.0, ratio)
+    smoothed = smooth(own, sigma)
+    threshold = min(smoothed.std(), smoothed[own.argmax()], own.max())
+    seeds = ~removed & (smoothed >= threshold) & (own >= threshold)
+    inside = np.r_[False, smoothed >= low * threshold, False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).tolist()
+    return seeds, [(i, j) for i, j in edges if seeds[i:j].any()]
+
+
 def extract(html: str | None, sigma: float = SIGMA) -> str:
     """Blocks of the main text joined by line ends."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    lines = parser.finish()
-    if not lines:
+    page = Lines()
+    page.feed(html)
+    page.finish()
+    removed = page.removed()
+    if removed.all():
         return ""
-    own = np.array([len(t) / max(1, n) for t, n, _ in lines])
-    ratio = smooth(own, sigma)
-    limit = min(ratio.std(), own[ratio.argmax()], ratio.max())
-    content = (ratio >= limit) & (own >= limit)  # smoothing lifts the neighbours of a region, too
-    best = lines[int(ratio.argmax())][2]
-    if any(t in REGIONS for t, _ in best):
-        keep = {next(x for x in path if x[0] in REGIONS) for (_, _, path), c in zip(lines, content) if c and any(t in REGIONS for t, _ in path)}
-        return "\n".join(t for t, _, path in lines if keep & set(path))
-    paths = [path for (_, _, path), c in zip(lines, content) if c]
-    depth = 0
-    while all(len(p) > depth for p in paths) and len({p[depth] for p in paths}) == 1:
-        depth += 1
-    while depth and paths[0][depth - 1][0] in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"):
-        depth -= 1
-    common = paths[0][:depth]
-    where = np.flatnonzero(content)
-    inside = [path[:depth] == common for _, _, path in lines]
-    if not common or common[-1][0] in ("html", "body"):
-        inside = [x and where[0] <= i <= where[-1] for i, x in enumerate(inside)]
-    return "\n".join(t for (t, _, _), x in zip(lines, inside) if x)
+    around = page.containers()
+    seeds, runs = regions(np.array(page.ratio), removed, sigma)
+    out = []
+    for i, j in runs:
+        homes = {c for c in around[i:j][seeds[i:j]].tolist()}
+        inner = [c for c in homes if page.tag[c] not in ("html", "body")]
+        first, last = min((page.start[c] for c in inner), default=0), max((page.end[c] for c in inner), default=0)
+
+        def belongs(k: int) -> bool:
+            return not removed[k] and bool(seeds[k] or around[k] in homes or first <= k < last)
+
+        while not belongs(i):
+            i += 1
+        while not belongs(j - 1):
+            j -= 1
+        out += [page.text[k] for k in range(i, j) if not removed[k]]
+    return "\n".join(out)
 
 
 def main_text(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
