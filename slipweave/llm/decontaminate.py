@@ -5,21 +5,29 @@ n + 1 - q - q*k of its q-grams with the place where it occurs, and those hits li
 on diagonals (position in the text less position in the passage) at most k
 apart. Hits are counted in overlapping diagonal bands of 2k + 1, one starting
 every k + 1 diagonals, so that any k + 1 neighbouring diagonals lie in one band.
-Bands that reach the bound are verified by alignment in the band alone.
+Bands that reach the bound are verified by alignment in the band alone; all
+regions within the budget that do not overlap are found, the best ones first.
+
+The budget k is a tenth of the passage's characters, rounded down, whatever its
+length. Grams have 8 characters; a passage for which the lemma would then ask for
+no shared gram has shorter ones, of n // (k + 1) characters: so passages of under
+10 characters, which have no budget, are found by exact occurrence.
 
 Texts are compared in lower case with every white-space character as a space;
 both keep the length, so positions are those of the text.
 
-The passages are shared with all tasks in blocks of at most `block_chars`
+Hits are listed for a bounded number at a time and kept as counts by band, so a
+text and a passage that repeat one character take memory in proportion to the
+text. The passages are shared with all tasks in blocks of at most `block_chars`
 characters; a larger benchmark takes more passes, each exact.
 
-Defined cases: null and empty texts and passages match nothing, nor do passages
-under q characters; equal rows match alike; no rows give no rows; other columns
-are ignored.
+Defined cases: null and empty texts and passages match nothing; equal rows match
+alike; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -31,8 +39,8 @@ from pyspark.sql import functions as F
 from .memory import give_back, small_batches
 
 Q, EDITS = 8, 0.1
-#: A character no text has; edits in a cell of the alignment table; no way; cells of one table.
-OUTSIDE, UNIT, FAR, CELLS = 0xFFFFFFFF, 1 << 32, 1 << 60, 1 << 20
+#: A character no text has; edits in a cell of the alignment table; no way; cells of one table; hits at a time.
+OUTSIDE, UNIT, FAR, CELLS, HITS = 0xFFFFFFFF, 1 << 32, 1 << 60, 1 << 20, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r\x85\xa0  　"})
 
@@ -60,38 +68,37 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h * _BASE
 
 
-class Passages:
-    """Index of the q-grams of some passages."""
+def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end) the first in order, and on those that overlap none taken."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for edits, start, end in sorted(hits):
+        at = bisect_left(taken, (end, 0))
+        if at and taken[at - 1][1] > start:
+            continue
+        taken.insert(at, (start, end))
+        out.append((edits, start, end))
+    return out
+
+
+class _Grams:
+    """The q-grams of some passages, for one q."""
 
     SIEVE = 22
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
-        self.q, rows = q, []
-        for item, text in items:
-            codes = _codes(normalize(text))
-            if len(codes) >= q:
-                rows.append((item, codes))
-        self.ids = [i for i, _ in rows]
-        self.codes = [c for _, c in rows]
-        n = np.array([len(c) for c in self.codes], np.int64)
-        # A budget for which the lemma still asks for one shared gram at least.
-        self.budget = np.minimum((n * edits).astype(np.int64), (n - q) // q)
-        self.bound = n + 1 - q - q * self.budget
-        hashes = [gram_hashes(c, q) for c in self.codes]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    def __init__(self, which: list[int], codes: list[np.ndarray], q: int):
+        self.q = q
+        hashes = [gram_hashes(codes[i], q) for i in which]
+        flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
-        self.grams, first, counts = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.counts = first, counts
-        self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else np.zeros(0, np.int64)
+        self.grams, self.first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.item = np.repeat(np.array(which), [len(h) for h in hashes])[order]
+        self.place = np.concatenate([np.arange(len(h)) for h in hashes])[order]
         self.sieve = np.zeros(1 << self.SIEVE, bool)
         self.sieve[self.grams >> np.uint64(64 - self.SIEVE)] = True
-        self.memo: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
-        self.memo_bytes = 0
 
-    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, band) of one text whose hits reach the bound."""
-        items, diagonals = [], []
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, diagonal) of all hits in a text, about HITS at a time."""
         for at in range(0, max(1, len(codes) - self.q + 1), 1 << 20):
             h = gram_hashes(codes[at:at + (1 << 20) + self.q - 1], self.q)
             pos = np.flatnonzero(self.sieve[h >> np.uint64(64 - self.SIEVE)])
@@ -100,21 +107,66 @@ class Passages:
             found = np.minimum(np.searchsorted(self.grams, h[pos]), len(self.grams) - 1)
             good = self.grams[found] == h[pos]
             pos, found = pos[good], found[good]
-            n = self.counts[found]
-            which = np.repeat(self.first[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            items.append(self.item[which])
-            diagonals.append(np.repeat(pos + at, n) - self.place[which])
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        item, diag = np.concatenate(items), np.concatenate(diagonals)
-        step = self.budget[item] + 1
-        low = diag // step
+            upto = np.cumsum(self.counts[found])
+            cut = 0
+            while cut < len(pos):
+                end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + HITS, "right")))
+                f, p = found[cut:end], pos[cut:end]
+                n = self.counts[f]
+                which = np.repeat(self.first[f] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                yield self.item[which], np.repeat(p + at, n) - self.place[which]
+                cut = end
+
+
+class Passages:
+    """Index of the q-grams of some passages."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
+        rows = [(item, codes) for item, text in items if len(codes := _codes(normalize(text)))]
+        self.ids = [i for i, _ in rows]
+        self.codes = [c for _, c in rows]
+        n = np.array([len(c) for c in self.codes], np.int64)
+        self.budget = (n * edits).astype(np.int64)
+        # Grams for which the lemma still asks for one that is shared.
+        grams = np.minimum(q, n // (self.budget + 1))
+        self.bound = n + 1 - grams - grams * self.budget
+        self.parts = [_Grams(np.flatnonzero(grams == g).tolist(), self.codes, int(g)) for g in np.unique(grams)]
+        self.memo: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        self.memo_bytes = 0
+
+    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) of one text whose hits reach the bound."""
         wide = 1 << 40
-        keys = np.concatenate([item * wide + low + (wide >> 1), item * wide + low - 1 + (wide >> 1)])
-        keys, count = np.unique(keys, return_counts=True)
-        item = keys // wide
-        enough = count >= self.bound[item]
-        return item[enough], keys[enough] % wide - (wide >> 1)
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            all_keys = np.concatenate(keys)
+            if len(keys) == 2:  # one listing: its keys are unique
+                return all_keys, np.concatenate(counts)
+            found, at = np.unique(all_keys, return_inverse=True)
+            return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+        for part in self.parts:
+            for item, diagonal in part.hits(codes):
+                low = diagonal // (self.budget[item] + 1)
+                mine, times = np.unique(item * wide + low + (wide >> 1), return_counts=True)
+                keys.append(mine)
+                counts.append(times)
+                held += len(mine)
+                if held > HITS:
+                    found, total = together()
+                    keys, counts, held = [found[:0], found], [total[:0], total], 0
+        # Hits of one step of k + 1 diagonals; a band holds two neighbouring steps.
+        found, total = together()
+        both = np.unique(np.concatenate([found, found - 1]))
+
+        def of(step: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(found, step), max(0, len(found) - 1))
+            return np.where(found[at] == step, total[at], 0) if len(found) else np.zeros(len(step), np.int64)
+
+        item = both // wide
+        enough = of(both) + of(both + 1) >= self.bound[item] if len(both) else np.zeros(0, bool)
+        return item[enough], both[enough] % wide - (wide >> 1)
 
     def _candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         """(item, first diagonal, text) to align. Neighbouring bands of an item are one;
@@ -133,14 +185,15 @@ class Passages:
             part[begin - low:end - low] = codes[begin:end]
             yield item, low, part.tobytes()
 
-    def align(self, todo: list[tuple[int, bytes]]) -> list[tuple[int, int, int] | None]:
-        """(edits, start, end) of the best occurrence in each candidate's text, from
-        that text's first place, or None over the budget.
+    def align(self, todo: list[tuple[int, bytes]]) -> list[list[tuple[int, int, int]]]:
+        """(edits, start, end) of the occurrences within the budget in each candidate's
+        text, from that text's first place: the best one, and on among those that
+        overlap none before.
 
         One banded table for many candidates: a row per character of the passages, a
         column per diagonal. A cell holds edits * UNIT + start, so minima carry the
         start along. Candidates whose whole row is over the budget leave early."""
-        out: list[tuple[int, int, int] | None] = [None] * len(todo)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in todo]
         order = sorted(range(len(todo)), key=lambda t: (len(self.codes[todo[t][0]]), len(todo[t][1])))
         while order:
             size, group = 0, []
@@ -179,8 +232,8 @@ class Passages:
             if ended.any() or i % 8 == 0:
                 least = cell.min(axis=1)
                 for r in np.flatnonzero(ended & (least < limit)).tolist():
-                    at = int(cell[r].argmin())
-                    out[who[r]] = (int(least[r] // UNIT), int(least[r] % UNIT), at + i)
+                    ends = np.flatnonzero(cell[r] < limit[r])
+                    out[who[r]] = apart([(int(c // UNIT), int(c % UNIT), at + i) for at, c in zip(ends.tolist(), cell[r][ends].tolist())])
                 stay = ~ended & (least < limit)
                 if not stay.any():
                     return
@@ -192,8 +245,8 @@ class Passages:
         return next(self.search_all([text]))
 
     def search_all(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, int, int, int]]]:
-        """For each text (item, edits, start, end): the best occurrence of each passage
-        found. Equal candidates, as in copies, are aligned once while remembered."""
+        """For each text (item, edits, start, end): the occurrences of each passage that do
+        not overlap, from its best one on. Equal candidates, as in copies, are aligned once while remembered."""
         waiting: list[list[tuple[int, int, bytes]]] = []
         held = 0
         for text in texts:
@@ -212,14 +265,11 @@ class Passages:
         self.memo.update(zip(todo, self.align(todo)))
         self.memo_bytes += sum(len(x) for _, x in todo)
         for found in waiting:
-            best: dict[int, tuple[int, int, int]] = {}
+            regions: dict[int, list[tuple[int, int, int]]] = {}
             for item, low, x in found:
-                hit = self.memo[item, x]
-                if hit:
-                    hit = (hit[0], hit[1] + low, hit[2] + low)
-                    if item not in best or hit < best[item]:
-                        best[item] = hit
-            yield [(self.ids[i], *best[i]) for i in sorted(best)]
+                for edits, start, end in self.memo[item, x]:
+                    regions.setdefault(item, []).append((edits, start + low, end + low))
+            yield [(self.ids[i], *hit) for i in sorted(regions) for hit in apart(regions[i])]
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
@@ -235,8 +285,8 @@ def _load(block: DataFrame, q: int, edits: float) -> Passages:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = 8_000_000) -> DataFrame:
-    """(doc_id, item_id, edits, start, end): each passage found in each document
-    with at most `edits` of its length changed, at its best place."""
+    """(doc_id, item_id, edits, start, end): each place of each document where a passage
+    occurs with at most `edits` of its length changed; places of one passage are apart."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

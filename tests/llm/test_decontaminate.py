@@ -58,7 +58,8 @@ def test_edges_and_case():
     index = D.Passages([(7, "The quick brown Fox jumps over the lazy dog again and again"), (8, "short"), (9, "")])
     assert index.search("the QUICK brown fox\tjumps over the lazy dog again and again") == [(7, 0, 0, 59)]
     assert index.search("quick brown fox jumps over the lazy dog again and again")[0][1] == 4
-    assert index.search(None) == index.search("") == index.search("short") == []
+    assert index.search(None) == index.search("") == index.search("shor") == []
+    assert index.search("a Short, short one") == [(8, 0, 2, 7), (8, 0, 9, 14)]  # no budget: exact
     assert D.Passages([]).search("anything at all") == []
 
 
@@ -72,3 +73,38 @@ def test_table(spark):
     kept = D.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
     assert D.matches(docs.limit(0), bench).collect() == [] and D.matches(docs, bench.limit(0)).collect() == []
+
+
+def test_short_passages_have_the_whole_budget():
+    rnd = random.Random(11)
+    for _ in range(300):
+        item = "".join(rnd.choices("abcdefgh ", k=rnd.randint(1, 45)))
+        index = D.Passages([(1, item)])
+        k = len(item) // 10
+        text = "".join(rnd.choices("mnopq", k=rnd.randint(0, 30))) + edited(rnd, item, rnd.randint(0, k + 1)) + "".join(rnd.choices("mnopq", k=rnd.randint(0, 30)))
+        least = brute(item, text)
+        got = index.search(text)
+        assert bool(got) == (least <= k), (item, text, least)
+        assert not got or got[0][1] == least
+
+
+def test_every_region_apart():
+    item = "a passage that stands here more than once, word for word or nearly so"
+    text = f"{item} ... {item.replace('once', 'twice')} ... {item[:20]} ... {item.upper()}"
+    got = D.Passages([(3, item)]).search(text)
+    assert [h[1] for h in got] == [0, 0, 3] and sorted(h[2] for h in got) == [0, len(item) + 5, text.index(item.upper())]
+    assert D.normalize(text)[got[1][2]:got[1][3]] == item
+
+
+def test_one_character_a_million_times():
+    import tracemalloc
+
+    item = "-" * 300 + " the end of a table"
+    text = "-" * 1_000_000 + " the end of a table"
+    index = D.Passages([(1, item), (2, "another passage, of words")])
+    tracemalloc.start()
+    got = index.search(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0][1:] == (0, len(text) - len(item), len(text)) and {h[0] for h in got} == {1}
+    assert peak < 500_000_000, peak
