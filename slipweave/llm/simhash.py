@@ -9,6 +9,16 @@ dropped; a key held by many is dealt over pairs of chunks, so no task sees more
 than two chunks. A task sends on a spanning forest of the links it verified,
 never all pairs, and components() joins the forests.
 
+similar_texts() uses the same blocks for near copies by similarity. Texts whose shingle
+sets have a Jaccard similarity of 4/5 differ in some 10 of 64 bits, and no choice of
+blocks both meets all those pairs and keeps keys rare. So several fingerprints are
+taken of each set: `tables` of them give keys, each of any `agree` of its pieces, and
+all together, as one longer fingerprint, give the distance that is verified. Links of
+a group go on as a spanning forest of least distances, and the similarity of every
+link that goes on is worked out on the whole sets. Nothing below the similarity is
+linked; pairs that differ in at most blocks - agree bits of a keyed fingerprint always
+meet, others with a probability that falls with the distance (measured in the README).
+
 Defined cases: null text is empty; no words give fingerprint zero, linked like
 any other; equal rows share a class; a null doc_id is kept but is never a
 component's name unless the class has no other; other columns are ignored.
@@ -17,6 +27,7 @@ component's name unless the class has no other; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -27,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 from .components import components
-from .memory import small_batches
+from .memory import give_back, small_batches
 
 _BLOCK = 1 << 15  # shingles hashed at a time
 
@@ -181,3 +192,212 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks:
     found = components(links(classes.where("node is not null"), distance, blocks, chunk))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp")
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of the shingles' hashes, ascending; A-Z are lower-cased, a text shorter
+    than a shingle is one."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    stops = ends[words - 1:] if len(parts) >= words else ends[-1:]
+    found = []
+    for k in range(0, len(stops), _BLOCK):
+        a, b = starts[k:min(len(stops), k + _BLOCK)].tolist(), stops[k:k + _BLOCK].tolist()
+        raw = b"".join(map(xxhash.xxh64_digest, [joined[i:j] for i, j in zip(a, b)], repeat(seed)))
+        found.append(np.frombuffer(raw, ">u8").astype(np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of the k-th fingerprint: as they are, then well mixed again."""
+    if not k:
+        return h
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def set_fingerprints(found: np.ndarray, lengths: int) -> list[int]:
+    """`lengths` fingerprints of 64 bits, as signed longs, of a set of hashes."""
+    out = []
+    for k in range(lengths):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(found), _BLOCK):
+            bits = np.unpackbits(_mixed(found[at:at + _BLOCK], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            votes += bits.sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * votes > len(found)).tobytes(), "big", signed=True))
+    return out
+
+
+def quarter(s: np.ndarray) -> np.ndarray:
+    """16 bits of each hash in a quarter of the range, as a set; two such sets differ
+    in no more places than the whole sets do."""
+    return np.unique((s[s >> np.uint64(62) == 0] >> np.uint64(46)).astype(np.uint16))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def described(docs: DataFrame, words: int, lengths: int, seed: int) -> DataFrame:
+    """(doc_id, class, n, fps, part): the class names the shingle set, n is its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, prints, parts = [], [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py(), words, seed)
+                names.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
+                sizes.append(len(s))
+                prints.append(set_fingerprints(s, lengths))
+                parts.append(quarter(s).tobytes())
+            name = pa.array(np.array(names, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), name, pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
+                ["doc_id", "class", "n", "fps", "part"],
+            )
+        give_back()
+
+    return _texts(docs).mapInArrow(run, "doc_id long, class long, n long, fps array<long>, part binary")
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) among n nodes make a spanning forest of least weight:
+    in each round every component takes its lightest link to another one."""
+    order = np.argsort(weight, kind="stable")
+    a, b = a[order], b[order]
+    label, taken, left = np.arange(n), [], np.arange(len(a))
+    while len(left):
+        x, y = label[a[left]], label[b[left]]
+        out = x != y
+        left, x, y = left[out], x[out], y[out]
+        if not len(left):
+            break
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        new = np.unique(best[best < len(a)])
+        taken.append(new)
+        label = forest(n, np.r_[a[np.concatenate(taken)], np.arange(n)], np.r_[b[np.concatenate(taken)], label])
+    return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
+
+
+def _similar_links(classes: DataFrame, least: tuple[int, int], tables: int, blocks: int, agree: int, distance: int, chunk: int) -> DataFrame:
+    """(a, b): of each key's pairs within the distance, and of sizes that can reach the
+    similarity, a spanning forest of least distances."""
+    keys = []
+    for t in range(tables):
+        for c, chosen in enumerate(combinations(_cuts(blocks), agree)):
+            mask = sum(((1 << w) - 1) << s for s, w in chosen)
+            signed = mask - (1 << 64) if mask >> 63 else mask
+            keys.append(F.struct(F.lit(t << 16 | c).alias("t"), F.col("fps")[t].bitwiseAND(F.lit(signed)).alias("v")))
+    lengths = classes.select(F.max(F.size("fps"))).first()[0] or 0
+    rows = classes.select(F.explode(F.array(*keys)).alias("key"), "node", F.col("n").cast("int").alias("n"), *[F.col("fps")[k].alias(f"f{k}") for k in range(lengths)])
+    rows = rows.select("key.t", "key.v", "node", "n", *[f"f{k}" for k in range(lengths)])
+    # Keys of many classes are cut into chunks and each pair of chunks is a task's group; there are no more keys than values of the pieces.
+    hot = rows.groupBy("t", "v").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("t", "v", F.ceil(F.col("c") / chunk).cast("int").alias("m"))
+    rows = rows.join(hot, ["t", "v"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
+    rows = rows.withColumn("task", F.explode(tasks))
+    group = ["t", "v", "i", "j"]
+    rows = rows.select("t", "v", "task.i", "task.j", "chunk", "node", "n", *[f"f{k}" for k in range(lengths)])
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *group).sortWithinPartitions(*group)
+    p, q = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, group):
+            ids, across = group_ids(table, group), table["i"].to_numpy() != table["j"].to_numpy()
+            node, n, part = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["chunk"].to_numpy()
+            prints = [table[f"f{k}"].to_numpy().view(np.uint64) for k in range(lengths)]
+            left, right, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lag in range(1, len(ids)):
+                x = np.flatnonzero(ids[lag:] == ids[:-lag])
+                if not len(x):
+                    break
+                y = x + lag
+                far = reduce(np.add, [np.bitwise_count(f[x] ^ f[y]).astype(np.int64) for f in prints])
+                good = (far <= distance) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y])) & (~across[x] | (part[x] != part[y]))
+                left.append(x[good])
+                right.append(y[good])
+                apart.append(far[good])
+            a, b = np.concatenate(left), np.concatenate(right)
+            some = spanning(len(ids), a, b, np.concatenate(apart))
+            x, y = node[a[some]], node[b[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs of which a quarter of the sets leaves room for the similarity."""
+    p, q = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for m, n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                good.append(differ <= m + n - 2 * -(-p * (m + n) // (p + q)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def side(name: str, n: str, part: str) -> DataFrame:
+        return classes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("part").alias(part))
+
+    met = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return met.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], seed: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
+    p, q = least
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words, seed).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append((p + q) * both >= p * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = materialize(_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"]), "sets")
+    met = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_texts(
+    docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), lengths: int = 4, tables: int = 2, blocks: int = 8, agree: int = 2,
+    distance: int = 56, seed: int = 42, chunk: int = 1000,
+) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text): components of texts
+    whose shingle sets have Jaccard similarity of at least least[0] / least[1], found by
+    `agree` of `blocks` pieces in one of `tables` fingerprints and at most `distance` bits
+    in all `lengths`. Texts of equal sets are one class before anything is joined."""
+    if not 0 < agree <= blocks <= 64 or not 0 < tables <= lengths:
+        raise ValueError("agree must not exceed blocks, nor tables lengths")
+    small_batches(docs.sparkSession)
+    marked = materialize(described(docs, words, lengths, seed), "described")
+    first = marked.groupBy("class").agg(F.min_by(F.struct("n", "fps", "part"), F.col("doc_id")).alias("r"), F.min("doc_id").alias("node"))
+    classes = materialize(first.select("class", "node", "r.*"), "classes")
+    known = classes.where("node is not null")
+    met = materialize(_similar_links(known, least, tables, blocks, agree, distance, chunk), "met")
+    pairs = materialize(bounded(met, known, least), "pairs")
+    found = components(verified(pairs, docs, words, least, seed))
+    named = classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")
