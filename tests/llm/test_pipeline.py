@@ -6,7 +6,7 @@ import sentencepiece
 
 from slipweave.llm import decontaminate, quality
 from slipweave.llm.queries import QUERIES
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_similar_texts import brute_components
 from tests.llm.test_suffix import brute as brute_spans
 
 SF = "/root/testdata/sf0.001"
@@ -21,9 +21,7 @@ def test_stages(spark):
     assert {r.doc_id for r in docs.collect()} == {i for i, s in scores.items() if s >= P.REJECT_BELOW}
 
     rows = {r.doc_id: r.text for r in docs.collect()}
-    from slipweave.llm.simhash import fingerprint
-
-    groups = brute_components({i: fingerprint(t, P.WORDS) for i, t in rows.items()})
+    groups = brute_components(rows, P.SIMILAR)
     docs = P.materialize(P.STAGES[1][1](spark, docs, SF), "t")
     assert docs.columns == columns and sorted(r.doc_id for r in docs.collect()) == sorted(i for i, g in groups.items() if i == g)
 
