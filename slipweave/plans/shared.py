@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Shuffle files go when the query that wrote them has ended, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +44,13 @@ def materialize(frame: DataFrame, label: str, path: str | None = None) -> DataFr
     without a path of the caller's goes when the session's JVM ends, if not before."""
     spark = frame.sparkSession
     target = path or new_path(spark, label)
-    frame.write.mode("overwrite").option("compression", "zstd").parquet(target)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # A frame takes the setting in when it is made; this one is made anew around the same plan.
+        frame.select("*").write.mode("overwrite").option("compression", "zstd").parquet(target)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     if path is None:
         fs, p = _at(spark, target)
         fs.deleteOnExit(p)
