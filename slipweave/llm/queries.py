@@ -102,6 +102,19 @@ u as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
 f as (select page_id, first(h || p order by length(h || p) desc) "rule", first(action order by length(h || p) desc) action
       from u join {_RULES} on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
 select u.page_id, host, path, f."rule", coalesce(action, 'allow') verdict from u left join f using (page_id)""",
+    "op8_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+w as (select doc_id, i, substr(x, 2 * i + 1, 200) s from (select doc_id, x, unnest(range(length(x) // 2 - 99)) i from d where length(x) >= 200)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) k from w) where k > 1),
+g as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 100, -1) opens from r),
+n as (select doc_id, i, sum(opens::int) over (partition by doc_id order by i) span from g),
+p as (select doc_id, min(i) a, max(i) + 100 e from n group by doc_id, span),
+q as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) upto from p),
+t as (select doc_id, count(*) n_spans, sum(e - a) n_removed, max(e) last,
+             string_agg(substr(x, 2 * upto + 1, 2 * (a - upto)), '' order by a) kept
+      from q join d using (doc_id) group by doc_id)
+select doc_id, length(x) // 2 n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
+       sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) kept_sha256 from d left join t using (doc_id)""",
     "op10_embedding_caps": """
 with recursive v as (select vec_id, embedding::double[] e from embeddings),
 l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id

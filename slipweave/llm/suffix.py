@@ -5,39 +5,40 @@ Every byte covered by a string of `length` bytes that also starts earlier goes.
 1. Anchors. In each window of `length` bytes the leftmost smallest hash of its
    GRAM-byte substrings is the window's anchor, so equal windows have equal
    anchors at equal offsets. An anchor's context is the stretch covered by the
-   windows that chose it. One row per anchor is dealt by its hash: no text.
-2. Classes. Rows of one anchor hash are read in order, with a state of one row;
-   equal contexts are one class. Members after a class's first are repeats.
-3. Intervals. Only first members of anchors with several classes fetch their
-   bytes. The contexts of some anchors are joined into one string with
-   separators. Its Burrows-Wheeler transform is extended backward breadth
-   first: an interval of suffixes that share a prefix w yields the intervals of
-   c+w for every byte c before them, and an interval's end that has no common
-   prefix yet gets the length of w. Lengths are set by increasing value and
-   expansion stops at `length`, so neighbours left unset share `length` bytes:
-   runs of them are the equal windows of different classes.
+   windows that chose it. One row per anchor is dealt by its hash: no text. A
+   context whose bytes stand earlier in the same batch is a repeat and is not dealt
+   under its hash, so a passage that many documents share comes once a batch.
+2. Groups. Anchors that occur once cannot be repeats. The contexts of the others
+   fetch their bytes.
+3. Intervals. Contexts of equal bytes are one class, and its first member stands
+   for it. The classes of some anchors with several are joined into one string with
+   separators. Its Burrows-Wheeler transform is extended backward breadth first: an interval
+   of suffixes that share a prefix w yields the intervals of c+w for every byte c
+   before them, and an interval's end that has no common prefix yet gets the length
+   of w. Lengths are set by increasing value and expansion stops at `length`, so
+   neighbours left unset share `length` bytes: runs of them are equal windows.
 4. Spans. Repeated windows go back to their documents and are merged.
 
-An anchor with more than `hot` classes does not go into one transform: each of
-its windows goes under a 128-bit digest of its bytes instead, and minima of the
-digests, combined before the shuffle, say which windows are repeats.
+Bytes decide every repeat; hashes only say what meets. An anchor in more than
+`chunk` contexts is split over tasks: its contexts are cut into single windows, each
+dealt under a hash of its bytes, of equal ones in a batch the first only. They go
+through the same transform.
 
 Defined cases: null text is empty; texts under `length` bytes keep everything; a
 null doc_id comes last; where doc_ids repeat, rows with equal texts too are one
 document and lose the same bytes, others are ordered by a hash of their text; no
-rows give no rows; other columns are kept by clean().
+rows give no rows; other columns, of any name, are kept by clean().
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
@@ -75,11 +76,11 @@ def window_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor position, hash, first window, last window) for one text."""
+    """(hashes of all grams, anchor positions, first windows, last windows) for one text."""
     h = window_hashes(data, gram)
     w, n = length - gram + 1, len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 4
+        return h, *(np.zeros(0, np.int64),) * 3
     # The leftmost minimum of w values, by doubling: a table of powers of two.
     best, at, size = h, np.arange(len(h)), 1
     while 2 * size <= w:
@@ -92,7 +93,7 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     choice = np.where(b < a, at[w - size:w - size + n], at[:n])
     new = np.flatnonzero(np.r_[True, choice[1:] != choice[:-1]])
     pos = choice[new]
-    return pos, h[pos].view(np.int64), new, np.r_[new[1:], n] - 1
+    return h, pos, new, np.r_[new[1:], n] - 1
 
 
 def _kind(n: int) -> type:
@@ -200,12 +201,6 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that have been written out."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, text), and the same with each uid once: uid orders documents;
     it is doc_id itself where that is unique."""
@@ -223,169 +218,245 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, materialize(rows.dropDuplicates(["uid"]), "documents")
 
 
-def _combined(cols: list[np.ndarray]) -> np.ndarray:
-    """Rows whose context an earlier place of the same batch holds."""
-    uid, a, c = cols[2], cols[3], cols[1]
-    order = np.argsort(c, kind="stable")
-    same = np.flatnonzero(c[order][1:] == c[order][:-1])
-    late = np.zeros(len(c), bool)
-    if len(same):
-        mine = np.zeros(len(c), bool)
-        mine[same] = mine[same + 1] = True
-        some = order[mine]
-        some = some[np.lexsort((a[some], uid[some], c[some]))]
-        late[some[1:]] = c[some][1:] == c[some][:-1]
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `size` of them, one range after the other."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+def _late(data: np.ndarray, key: np.ndarray, uid: np.ndarray, a: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which stretches data[at:at + size] have the bytes of one with the same key that
+    starts earlier, by (uid, a); stretches with one key and other bytes are not."""
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    late = np.zeros(len(key), bool)
+    if not len(same):
+        return late
+    mine = np.zeros(len(key), bool)
+    mine[same] = mine[same + 1] = True
+    some = order[mine]
+    some = some[np.lexsort((a[some], uid[some], key[some]))]
+    new = np.r_[True, key[some][1:] != key[some][:-1]]
+    first = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    rest = np.flatnonzero(~new & (size[some] == size[first]))
+    raw = data.tobytes()
+    equal = [raw[i:i + n] == raw[j:j + n] for i, j, n in zip(at[some[rest]].tolist(), at[first[rest]].tolist(), size[some[rest]].tolist())]
+    late[some[rest[np.array(equal, bool)]]] = True
     return late
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, uid, a, b, late): anchor hash, context hash, first and last window.
+def _spread(uid: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """A key that deals rows evenly."""
+    with np.errstate(over="ignore"):
+        return ((uid + a).astype(np.uint64) * _MIX).view(np.int64)
+
+
+_ANCHOR = ["h", "uid", "a", "b", "late"]
 
-    Contexts that repeat within a batch are settled there: only the earliest goes
-    on under its hash, the others are marked late and dealt evenly."""
+
+def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, uid, a, b, late): anchor hash, first and last window. Rows whose context's bytes
+    stand earlier in the batch are marked late and dealt evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            texts, begin = [], 0
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = _bytes(text.as_py())
                 if len(raw) < length:
                     continue
-                _, h, a, b = anchors(np.frombuffer(raw, np.uint8), length, gram)
-                hashes = map(xxhash.xxh64_intdigest, [raw[i:j] for i, j in zip(a.tolist(), (b + length).tolist())])
-                c = np.fromiter(hashes, np.uint64, len(h)).view(np.int64)
-                for o, x in zip(out, (h, c, np.full(len(h), uid, np.int64), a.astype(np.int32), b.astype(np.int32))):
+                data = np.frombuffer(raw, np.uint8)
+                h, pos, a, b = anchors(data, length, gram)
+                with np.errstate(over="ignore"):  # the grams at both ends, the anchor and its place
+                    key = h[a] * _BASE + h[b + length - gram] * _MIX + h[pos] + (pos - a).astype(np.uint64)
+                for o, x in zip(out, (h[pos].view(np.int64), np.full(len(a), uid, np.int64), a.astype(np.int32), b.astype(np.int32), key, a + begin)):
                     o.append(x)
-            if out[0]:
-                cols = [np.concatenate(o) for o in out]
-                late = _combined(cols)
-                cols[0][late] = (cols[2][late] + cols[3][late]).astype(np.uint64).__mul__(_MIX).view(np.int64)
-                out = []
-                for k in range(0, len(late), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (*cols, late)], ["h", "c", "uid", "a", "b", "late"])
-                del cols, late
+                texts.append(raw)
+                begin += len(raw)
+            if not texts:
+                continue
+            h, uid, a, b, key, at = (np.concatenate(o) for o in out)
+            late = _late(np.frombuffer(b"".join(texts), np.uint8), key, uid, a, at, b - a + length)
+            h[late] = _spread(uid[late], a[late])
+            del out, texts, key, at
+            for k in range(0, len(late), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (h, uid, a, b, late)], _ANCHOR)
         give_back()
 
-    return docs.select("uid", "text").mapInArrow(run, "h long, c long, uid long, a int, b int, late boolean")
+    return docs.select("uid", "text").mapInArrow(run, "h long, uid long, a int, b int, late boolean")
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """(h, uid, a, b, first) from rows sorted by (h, c, uid, a): repeats within a
-    class, and the first members of anchors with several classes."""
+#: What becomes of an anchor's row: settled as a repeat, to be compared, to be compared window by window.
+SETTLED, MEETS, CROWDED = range(3)
+
+
+def _groups(rows: DataFrame, chunk: int) -> DataFrame:
+    """(h, uid, a, b, fate) from rows sorted by h: late rows, and those of anchors that
+    occur again. At most `chunk` rows of one anchor are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = None, None  # a first member that may turn out alone; the last row's (h, c)
+        held: list[list[np.ndarray]] = []  # of the last anchor, which may go on
+        name, many = None, False
+
+        def put(cols: list[np.ndarray], fate: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(fate):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(fate.astype(np.int32))], ["h", "uid", "a", "b", "fate"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, np.int64)] * 4
+            if len(cols[0]) > 1 or many:
+                yield from put(cols, np.full(len(cols[0]), CROWDED if many else MEETS))
+
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(5)]
-            late = batch.column(5).to_numpy(zero_copy_only=False)
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            late = batch.column(4).to_numpy(zero_copy_only=False)
             if late.any():
-                yield pa.RecordBatch.from_arrays([*[pa.array(cols[k][late]) for k in (0, 2, 3, 4)], pa.array(np.zeros(late.sum(), bool))], ["h", "uid", "a", "b", "first"])
-                cols = [x[~late] for x in cols]
-            if not len(cols[0]):
+                yield from put([c[late] for c in cols], np.full(late.sum(), SETTLED))
+                cols = [c[~late] for c in cols]
+            h = cols[0]
+            if not len(h):
                 continue
-            h, c = cols[0], cols[1]
-            before_h = np.r_[h[0] if last else 0, h[:-1]]
-            before_c = np.r_[c[0] if last else 0, c[:-1]]
-            if last:
-                before_h[0], before_c[0] = last
-            anchor = h != before_h
-            if not last:
-                anchor[0] = True
-            fresh = anchor | (c != before_c)
-            firsts = np.flatnonzero(fresh)
-            shared = np.r_[~anchor[firsts][1:], False] | ~anchor[firsts]
-            rows = [x[~fresh] for x in cols], [x[firsts[shared]] for x in cols]
-            if held is not None and len(firsts):
-                if not anchor[firsts[0]]:
-                    rows[1][:] = [np.r_[y, x] for x, y in zip(rows[1], held)]
-                held = None
-            if len(firsts) and not shared[-1]:  # the next batch may hold its second class
-                held = [x[firsts[-1:]] for x in cols]
-            for part, flag in zip(rows, (False, True)):
-                if len(part[0]):
-                    yield pa.RecordBatch.from_arrays([*[pa.array(part[k]) for k in (0, 2, 3, 4)], pa.array(np.full(len(part[0]), flag))], ["h", "uid", "a", "b", "first"])
-            last = (h[-1], c[-1])
-
-    return rows.mapInArrow(run, "h long, uid long, a int, b int, first boolean")
-
-
-def _contexts(firsts: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
-    """(h, uid, a, b, text) of first members; windows of hot anchors one by one,
-    with their digest as text and h null."""
-    many = firsts.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("h", F.lit(True).alias("hot"))
-    asked = firsts.join(many, "h", "left").groupBy("uid").agg(F.collect_list(F.struct("h", "a", "b", "hot")).alias("asked"))
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[new, len(h)])
+            if name is not None and h[0] == name:
+                held.append([c[:size[0]] for c in cols])
+            if name is None or h[0] != name or len(new) > 1:
+                yield from close()
+                held, many = [], False
+            if sum(len(x[0]) for x in held) > chunk:  # crowded: nothing is held any more
+                many = True
+                yield from close()
+                held = []
+            # Whole groups of this batch; the last one may go on, the first has been added to what is held.
+            begin = int(name is not None and h[0] == name)
+            whole = np.repeat(size, size)
+            inner = np.zeros(len(h), bool)
+            if len(new) > 1:
+                inner[new[begin] if begin < len(new) else len(h):new[-1]] = True
+            inner &= whole > 1
+            yield from put([c[inner] for c in cols], np.where(whole[inner] > chunk, CROWDED, MEETS))
+            if len(new) > 1 or not begin:
+                held, name = [[c[new[-1]:] for c in cols]], h[-1]
+                if size[-1] > chunk:
+                    many = True
+                    yield from close()
+                    held = []
+        yield from close()
+
+    return rows.mapInArrow(run, "h long, uid long, a int, b int, fate int")
+
+
+def _contexts(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(h, uid, a, b, text): the bytes of the contexts that meet others; single windows, by
+    a hash of theirs, of crowded anchors. Windows that stand earlier in the batch are
+    settled: they have no text."""
+    asked = found.where(F.col("fate") != SETTLED).groupBy("uid").agg(F.collect_list(F.struct("h", "a", "b", "fate")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 64):
-                batch, out = whole.slice(at, 64), []
-                for uid, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    raw = _bytes(text)
-                    for x in asked:
-                        a, b = x["a"], x["b"]
-                        if x["hot"]:
-                            out += [(None, uid, k, k, hashlib.blake2b(raw[k:k + length], digest_size=16).digest()) for k in range(a, b + 1)]
-                        else:
-                            out.append((x["h"], uid, a, b, raw[a:b + length]))
-                        if len(out) >= 20_000:
-                            yield _context_batch(out)
-                            out = []
-                if out:
-                    yield _context_batch(out)
+            for cut in range(0, len(whole), 1024):
+                batch = whole.slice(cut, 1024)
+                raws = [_bytes(t.as_py()) for t in batch.column(1)]
+                lists = batch.column(2)
+                counts = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
+                h, a, b, fate = (flat.field(k).to_numpy() for k in range(4))
+                data = np.frombuffer(b"".join(raws), np.uint8)
+                sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+                base = np.repeat(np.cumsum(sizes) - sizes, counts)
+                uid = np.repeat(batch.column(0).to_numpy(), counts)
+                good = fate == MEETS
+                for k in np.array_split(np.flatnonzero(good), max(1, int((b - a + length)[good].sum() >> 22))):
+                    yield from _cut_out(data, h[k], uid[k], a[k], b[k], base[k] + a[k], (b - a)[k] + length)
+                for k in np.array_split(np.flatnonzero(~good), max(1, int((~good).sum() >> 13))):
+                    n = (b - a)[k].astype(np.int64) + 1
+                    pos = _ranges(a[k].astype(np.int64), n)
+                    at, of = np.repeat(base[k], n) + pos, np.repeat(uid[k], n)
+                    key = np.fromiter((xxhash.xxh64_intdigest(data[i:i + length]) for i in at.tolist()), np.uint64, len(at))
+                    late = _late(data, key, of, pos, at, np.full(len(at), length))
+                    again = np.flatnonzero(late)
+                    if len(again):
+                        yield _context_batch(_spread(of[again], pos[again]), of[again], pos[again], pos[again], pa.nulls(len(again), pa.binary()))
+                    some = np.flatnonzero(~late)
+                    yield from _cut_out(data, key[some].view(np.int64), of[some], pos[some], pos[some], at[some], np.full(len(some), length))
+        give_back()
 
     return docs.select("uid", "text").join(asked, "uid").mapInArrow(run, "h long, uid long, a int, b int, text binary")
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["h", "uid", "a", "b", "text"])
+def _cut_out(data: np.ndarray, h: np.ndarray, uid: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(h):
+        size = size.astype(np.int64)
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+        text = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(data[_ranges(at, size)])])
+        yield _context_batch(h, uid, a, b, text)
+
+
+def _context_batch(h: np.ndarray, uid: np.ndarray, a: np.ndarray, b: np.ndarray, text: pa.Array) -> pa.RecordBatch:
+    cols = [pa.array(h), pa.array(uid, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), text]
+    return pa.RecordBatch.from_arrays(cols, ["h", "uid", "a", "b", "text"])
 
 
 def _expand(contexts: DataFrame, length: int) -> DataFrame:
-    """(uid, a, b): windows that an earlier class holds, from the transforms."""
+    """(uid, a, b): stretches of windows whose bytes stand earlier, from classes and transforms."""
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = contexts.where("h is not null").repartition(parts, "h").sortWithinPartitions("h")
+    rows = contexts.repartition(parts, "h").sortWithinPartitions("h")
+
+    def span(uid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["uid", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, ["h"], most=4096):
-            uid, a, b = (table[k].to_numpy().astype(np.int64) for k in ("uid", "a", "b"))
-            texts = table["text"].to_pylist()
-            cls, off, place = repeats(texts, np.zeros(len(a), np.int64), b - a + 1, length)
-            pos = a[cls] + off
-            order = np.lexsort((pos, uid[cls], place))
+            table = table.combine_chunks()
+            h, uid, a, b = (table[k].to_numpy().astype(np.int64) for k in ("h", "uid", "a", "b"))
+            text = table["text"].combine_chunks()
+            if text.null_count:
+                done = text.is_null().to_numpy(zero_copy_only=False)
+                yield span(uid[done], a[done], b[done])
+                h, uid, a, b, text = h[~done], uid[~done], a[~done], b[~done], text.filter(pa.array(~done))
+            if not len(uid):
+                continue
+            coded = text.dictionary_encode()  # by bytes
+            cls = coded.indices.to_numpy()
+            order = np.lexsort((a, uid, cls))
+            first = np.r_[True, cls[order][1:] != cls[order][:-1]]
+            copies, some = order[~first], order[first]  # some: the first member of every class, in order of class
+            if len(copies):
+                yield span(uid[copies], a[copies], b[copies])
+            # Windows of one context differ, as their anchor stands at different offsets: a lone class holds no other repeats.
+            anchor = h[some]
+            _, at, times = np.unique(anchor, return_inverse=True, return_counts=True)
+            several = times[at] > 1
+            if not several.any():
+                continue
+            uid, a, b = (x[some][several] for x in (uid, a, b))
+            of, off, place = repeats(coded.dictionary.filter(pa.array(several)).to_pylist(), np.zeros(len(a), np.int64), b - a + 1, length)
+            pos = a[of] + off
+            order = np.lexsort((pos, uid[of], place))
             again = np.r_[False, place[order][1:] == place[order][:-1]]
             mine = np.sort(order[again])  # in order of class and offset
             if not len(mine):
                 continue
-            c, x = cls[mine], pos[mine]
+            c, x = of[mine], pos[mine]
             new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1] + 1)])
             end = np.r_[new[1:], len(mine)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(uid[c[new]]), pa.array(x[new].astype(np.int32)), pa.array(x[end].astype(np.int32))], ["uid", "a", "b"])
+            yield span(uid[c[new]], x[new], x[end])
         give_back()
 
     return rows.mapInArrow(run, "uid long, a int, b int")
 
 
-def _hot_windows(contexts: DataFrame) -> DataFrame:
-    rows = contexts.where("h is null")
-    least = rows.groupBy("text").agg(F.min(F.struct("uid", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(least, "text").where((F.col("first.uid") != F.col("uid")) | (F.col("first.a") != F.col("a"))).select("uid", "a", "b")
-
-
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = 500) -> DataFrame:
     """(uid, a, b) for docs(uid, text): first and last window of stretches whose
     windows all start earlier somewhere; stretches may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = anchor_rows(docs, length, gram).repartition(parts, "h").sortWithinPartitions("h", "c", "uid", "a")
-    found = materialize(_classes(rows), "classes")
-    _release(spark)
-    firsts = found.where("first").select("h", "uid", "a", "b")
-    contexts = materialize(_contexts(firsts, docs, length, hot), "contexts")
-    _release(spark)
-    copies = found.where("not first").select("uid", "a", "b")
-    return copies.unionAll(_expand(contexts, length)).unionAll(_hot_windows(contexts))
+    rows = anchor_rows(docs, length, gram).repartition(parts, "h").sortWithinPartitions("h")
+    found = materialize(_groups(rows, chunk), "groups")
+    settled = found.where(F.col("fate") == SETTLED).select("uid", "a", "b")
+    return settled.unionAll(_expand(_contexts(found, docs, length), length))
 
 
 def merged(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -405,13 +476,11 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
 
 
-def _with_spans(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
     """(uid, doc_id, text, windows) per document of docs(doc_id, text)."""
     rows, single = _numbered(docs)
-    spark = docs.sparkSession
-    spans = materialize(repeated(single, length, gram, hot), "spans")
-    _release(spark)
-    spans = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
+    spans = materialize(repeated(single, length, gram, chunk), "spans")
+    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
     return rows.join(spans, "uid", "left")
 
 
@@ -419,7 +488,7 @@ def _pairs(cell: pa.Scalar) -> list[tuple[int, int]]:
     return [(x["a"], x["b"]) for x in cell.as_py() or []]
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = 500) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,12 +503,13 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(x), k) for x, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return _with_spans(docs, length, gram, hot).select("doc_id", "text", "windows").mapInArrow(run, kind)
+    return _with_spans(docs, length, gram, chunk).select("doc_id", "text", "windows").mapInArrow(run, kind)
 
 
-def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
+def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = 500) -> DataFrame:
     """docs with its columns, repeats cut out of text; a character that loses a byte
-    goes whole. n_chars, where there is one, counts what is left."""
+    goes whole. n_chars, where there is one, counts what is left. Rows travel as one
+    struct, so their columns may have any names."""
 
     @F.pandas_udf("string")
     def cut(text, windows):
@@ -449,11 +519,16 @@ def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20
 
         return text.combine(windows, one)
 
-    found = _with_spans(docs, length, gram, hot).where("windows is not null")
-    new = found.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), cut("text", "windows").alias("_text")).distinct()
-    out = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    out = out.join(new.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_h"), "_text"), out["doc_id"].eqNullSafe(F.col("_doc")) & (out["_hash"] == F.col("_h")), "left")
-    out = out.withColumn("text", F.coalesce("_text", "text"))
+    def named(doc_id, text):
+        return [doc_id.cast("long").alias("doc"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("hash")]
+
+    found = _with_spans(docs, length, gram, chunk).where("windows is not null")
+    new = found.select(*named(F.col("doc_id"), F.col("text")), cut("text", "windows").alias("cut")).dropDuplicates(["doc", "hash"])
+    rows = docs.select(F.struct("*").alias("row"), *named(F.col("doc_id"), F.col("text"))).alias("r")
+    met = rows.join(new.alias("n"), F.col("r.doc").eqNullSafe(F.col("n.doc")) & (F.col("r.hash") == F.col("n.hash")), "left")
+    row, text = F.col("r.row"), F.col("n.cut")
+    changed = {"text": F.coalesce(text, row["text"])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(text.isNotNull(), F.length(text).cast(kind)).otherwise(row["n_chars"])
+    return met.select(*[changed.get(c, row[c]).alias(c) for c in docs.columns])

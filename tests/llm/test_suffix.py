@@ -32,8 +32,7 @@ def test_anchor_choice():
     rnd = random.Random(2)
     data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(500)), np.uint8)
     h = suffix.window_hashes(data, 24)
-    _, _, first, last = suffix.anchors(data, 100, 24)
-    pos = suffix.anchors(data, 100, 24)[0]
+    _, pos, first, last = suffix.anchors(data, 100, 24)
     for p, a, b in zip(pos, first, last):
         assert all(s + int(np.argmin(h[s:s + 77])) == p for s in range(a, b + 1))
     assert first[0] == 0 and last[-1] == 400 and (first[1:] == last[:-1] + 1).all()
@@ -83,10 +82,44 @@ def test_planted_and_hot(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert got(frame) == want
-    assert got(frame, hot=2) == want
+    for chunk in (1, 2, 7):
+        assert got(frame, chunk=chunk) == want
     assert got(frame, gram=60) == want
 
 
+def test_groups_over_batches(spark):
+    """Anchors whose rows end in any place of a batch, and go on over several."""
+    rows = planted(5, 30)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want, key = brute(rows), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size, chunk in ((1, 500), (3, 500), (3, 4), (7, 2), (50, 9)):
+        spark.conf.set(key, str(size))
+        try:
+            assert got(frame, chunk=chunk) == want
+        finally:
+            spark.conf.set(key, before)
+
+
+def test_one_key_for_different_bytes():
+    """Only equal bytes make a stretch late."""
+    data = np.frombuffer(b"abcdabcdabce", np.uint8)
+    at, key, uid = np.array([0, 4, 8, 0, 4]), np.array([7, 7, 7, 9, 9], np.uint64), np.array([1, 1, 1, 2, 3])
+    late = suffix._late(data, key, uid, at, at, np.array([4, 4, 4, 4, 3]))
+    assert late.tolist() == [False, True, False, False, False]
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    t = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, t, 5, "x", 1), (2, t + "!", 6, "y", 2)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, _hash long, _text string, n_chars int")
+    left = suffix.clean(frame)
+    assert left.schema == frame.schema
+    assert sorted(tuple(r) for r in left.collect()) == [(1, t, 5, "x", 1), (2, "!", 6, "y", 1)]
+    other = frame.select("doc_id", "text", *[frame["n_chars"].alias(c) for c in ("_doc", "_h", "row", "doc", "hash", "cut", "uid", "windows", "a")])
+    assert suffix.clean(other).columns == other.columns
+
+
 def test_odd_rows(spark):
     t = " ".join(f"word{i}" for i in range(60))
     rows = [(1, None, "a"), (2, "", "a"), (3, t, "a"), (3, t, "a"), (5, "short", "b"), (None, t, "c"), (7, t + "!", "d")]
