@@ -10,6 +10,9 @@ and minus infinity when it would merge across them, so exactly one path
 survives: the one merging gives. Characters without a piece become byte pieces,
 or the unknown piece when the model has none.
 
+A model's character map and white-space rules are applied first; decoding gives the
+normalized text back. Models that mark words at their ends are refused.
+
 Texts are cut where no piece can reach across (before a run of word marks, around
 line ends), so equal units of a text are solved once; the memo holds at most
 `MEMO` units and is then dropped.
@@ -66,6 +69,70 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Normalizer:
+    """A model's character map, a trie of UTF-8 strings with their replacements: at each
+    place the longest string that is in it is replaced, other characters stay. With
+    `squeeze`, spaces at both ends go and runs of spaces become one. Symbols stay as they are.
+
+    The trie is a double array of 32-bit units in the public format: a unit holds the byte
+    that leads to it, whether a string ends there, and how far its children are."""
+
+    def __init__(self, charsmap: bytes, squeeze: bool, symbols: list[str]):
+        size = struct.unpack("<I", charsmap[:4])[0] if charsmap else 0
+        self.trie = np.frombuffer(charsmap[4:4 + size], "<u4").tolist()
+        self.targets, self.squeeze = charsmap[4 + size:], squeeze
+        self.symbols = re.compile("|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
+
+    @staticmethod
+    def _children(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def _longest(self, raw: bytes) -> tuple[int, str] | None:
+        """(bytes, replacement) of the longest string of the map that `raw` starts with."""
+        found = None
+        if not self.trie:
+            return found
+        node = self._children(self.trie[0])
+        for n, byte in enumerate(raw, 1):
+            node ^= byte
+            unit = self.trie[node]
+            if unit & 0x800000FF != byte:
+                break
+            node ^= self._children(unit)
+            if unit >> 8 & 1:
+                at = self.trie[node] & 0x7FFFFFFF
+                found = n, self.targets[at:self.targets.index(b"\0", at)].decode("utf-8", "replace")
+        return found
+
+    def _steps(self, text: str) -> Iterator[str]:
+        raw, at, k = text.encode("utf-8", "replace"), 0, 0
+        while at < len(raw):
+            held = self.symbols and self.symbols.match(text, k)
+            if held and held.end() > k:
+                yield held[0]
+                at, k = at + len(held[0].encode()), held.end()
+                continue
+            found = self._longest(raw[at:at + 64])  # longer than any string of a map
+            if found:
+                k += len(raw[at:at + found[0]].decode())
+                at += found[0]
+                yield found[1]
+            else:
+                yield text[k]
+                at, k = at + len(text[k].encode("utf-8", "replace")), k + 1
+
+    def __call__(self, text: str) -> str:
+        out, space = [], self.squeeze
+        for step in self._steps(text):
+            if space:
+                step = step.lstrip(" ")
+            if step:
+                out.append(step)
+                space = self.squeeze and step.endswith(" ")
+        whole = "".join(out)
+        return whole.rstrip(" ") if self.squeeze else whole
+
+
 class Codec:
     """A model file's pieces with encode and decode."""
 
@@ -89,11 +156,15 @@ class Codec:
                 rows.append((piece, score, kind))
             elif number == 2:
                 self.kind = next((v for n, v in _fields(value) if n == 3), UNIGRAM)
+                if next((v for n, v in _fields(value) if n == 24), 0):
+                    raise ValueError("models that mark words at their ends are not read")
             elif number == 3:
                 spec = dict(_fields(value))
                 self.prefix, self.squeeze, charsmap = bool(spec.get(3, 1)), bool(spec.get(4, 1)), spec.get(2, b"")
-        if charsmap or self.squeeze:
-            raise ValueError("only models with identity normalization are supported")
+                if not spec.get(5, 1):
+                    raise ValueError("models that leave spaces as they are are not read")
+        symbols = [p for p, _, k in rows if k == USER]
+        self.normalize = Normalizer(charsmap, self.squeeze, symbols) if charsmap or self.squeeze else None
         self.rows = rows
         self.unknown = next((i for i, r in enumerate(rows) if r[2] == UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(rows) if k == BYTE}
@@ -240,6 +311,8 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
+        if text and self.normalize:
+            text = self.normalize(text)
         if not text:
             return np.zeros(0, "<u4")
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
@@ -313,7 +386,8 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, n_chars, decoded_equal): encodes every whole
-    text, decodes the ids and compares; null counts as empty."""
+    text, decodes the ids and compares with the text, normalized if the model does that;
+    null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -323,6 +397,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 text = t.as_py() or ""
                 ids = c.encode(text)
                 back = c.decode(ids)
+                text = c.normalize(text) if c.normalize else text
                 out.append((len(ids), zlib.crc32(ids.tobytes()), len(back), back == text))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(

@@ -49,6 +49,25 @@ def test_unigram_model_scores_as_the_library(codec):
         assert score(ids) == pytest.approx(score(lib.encode(t)), abs=1e-3), t
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_models_that_normalize(codec, rule, squeeze):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(open(PATH, "rb").read())
+    model.normalizer_spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    model.normalizer_spec.add_dummy_prefix = True
+    own = pieces.Codec.__new__(pieces.Codec)
+    own._load(model.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    rnd = random.Random(3)
+    odd = "ＡＢ①㌕ﬁ\u3000\t\u200b\u00a0 é e\u0301 ｶﾞ ½ \u2028  İ ß 각 ㈱"
+    for t in [*ODD, odd, *["".join(rnd.choice(odd + "ab  ") for _ in range(30)) for _ in range(300)]]:
+        assert own.encode(t).tolist() == lib.encode(t), repr(t)
+
+
 def test_table(spark, codec):
     rows = [(1, None, 7), (2, "", 7), (3, "The thing is.", 7), (3, "The thing is.", 7), (None, "a b", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
