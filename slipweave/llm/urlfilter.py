@@ -7,7 +7,8 @@ level 0 lets through, level 2 the listed keys that level 1 lets through, and so
 on until nothing is let through wrongly. Over the corpus's complete key
 universe membership is then exact, and urls are judged without a join: the
 filters are constants of a few words per listed key, checked against
-`max_words` before they enter a plan.
+`max_words` before they enter a plan. A list whose cascade would exceed that is
+held against the corpus's different urls by a join instead, with the same verdicts.
 
 Defined cases: a null url or one without `://` has an empty host and path and
 fits no rule unless one is empty; repeated rows are judged alike; a key listed
@@ -36,6 +37,10 @@ class Level:
     words: tuple[int, ...]
 
 
+class TooManyKeys(ValueError):
+    """A level of a cascade would not be a constant of bounded size."""
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
@@ -90,7 +95,7 @@ def build(universe: DataFrame, max_words: int = 1 << 17) -> list[Level]:
         bits = max(64, math.ceil(n * hashes / math.log(2)))
         count = -(-bits // 64)
         if count > max_words:
-            raise ValueError(f"a filter of {count} words exceeds max_words={max_words}")
+            raise TooManyKeys(f"a filter of {count} words exceeds max_words={max_words}")
         slot = F.explode(F.array(*_slots(F.col("key"), len(levels), bits, hashes)))
         ones = (
             left.where(F.col("listed") == side).select(slot.alias("s"))
@@ -119,7 +124,10 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, default: str
         rules.where("host is not null and path is not null").select(rule_key.alias("key"), (F.col("action") == "block").alias("block"), (F.col("action") == "allow").alias("allow"))
     )
     universe = materialize(flags.groupBy("key").agg(F.max("block").alias("block"), F.max("allow").alias("allow")), "keys")
-    filters = {x: build(universe.select("key", F.col(x).alias("listed")), max_words) for x in ("block", "allow")}
+    try:
+        filters = {x: build(universe.select("key", F.col(x).alias("listed")), max_words) for x in ("block", "allow")}
+    except TooManyKeys:
+        return _judge_by_join(urls, universe, keys, default)
 
     def any_(k: Column) -> Column:
         return listed(k, filters["block"]) | listed(k, filters["allow"])
@@ -128,3 +136,13 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, default: str
     blocked = F.coalesce(listed(F.col("rule"), filters["block"]), F.lit(False))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocked, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def _judge_by_join(urls: DataFrame, universe: DataFrame, keys: Column, default: str) -> DataFrame:
+    """judge() for lists too long for constants: each different url's keys are joined to
+    the listed ones, and the longest counts. Urls are joined back by host and path."""
+    known = universe.where("block or allow").select("key", "block")
+    asked = urls.select("host", "path").distinct().select("host", "path", F.posexplode(keys).alias("at", "key"))
+    best = asked.join(known, "key").groupBy("host", "path").agg(F.min_by(F.struct("key", "block"), F.col("at")).alias("best"))
+    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.block"), "block").otherwise("allow")
+    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))

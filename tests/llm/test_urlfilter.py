@@ -19,10 +19,10 @@ def brute(url, rules, default="allow"):
     return host, path, best[2], "block" if best[3] else "allow"
 
 
-def judged(spark, urls, rules, default="allow"):
+def judged(spark, urls, rules, default="allow", **kw):
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)], COLUMNS)
     listed = spark.createDataFrame(rules, "host string, path string, action string")
-    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(spark, pages, listed, default).collect()}
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(spark, pages, listed, default, **kw).collect()}
 
 
 def test_random_urls_against_brute_force(spark):
@@ -31,7 +31,9 @@ def test_random_urls_against_brute_force(spark):
     paths = ["", "/", "/en", "/en/", "/en/x", "/EN/", "/fr/é"]
     urls = [rnd.choice(["http://", "://", "x:", "a://b://", ""]) + rnd.choice(hosts) + rnd.choice(paths) + rnd.choice(["", "?q=/en/", "#/en/", "/?a#b"]) for _ in range(600)]
     rules = list({(h, p): (h, p, rnd.choice(["allow", "block"])) for h in ("com", "a.com", "net", "c.net", "é.net") for p in ("/", "/en/", "/fr/é", "") if rnd.random() < 0.7}.values())
-    assert judged(spark, urls, rules) == {i: brute(u, rules) for i, u in enumerate(urls)}
+    want = {i: brute(u, rules) for i, u in enumerate(urls)}
+    assert judged(spark, urls, rules) == want
+    assert judged(spark, urls, rules, max_words=0) == want  # a list too long for constants
 
 
 def test_cascade_is_exact_over_its_universe(spark):
