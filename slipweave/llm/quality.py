@@ -133,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, per_doc: int = 1
     """A net from labels(doc_id, quality) of documents outside the held-out fold.
 
     The sample is the `sample` labelled documents with the smallest hashes, so
-    it doesn't depend on order; at most sample * per_doc chunks reach the driver."""
+    it doesn't depend on order. `per_doc` bounds the chunks that are learnt from of each,
+    evenly spread over its text: both are bounds of the training sample alone. At most
+    sample * per_doc chunks reach the driver, rows of one doc_id are one before that."""
     known = (
         labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -146,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, per_doc: int = 1
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "chunks": chunks})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").mapInPandas(cut, "doc_id long, quality int, chunks array<binary>").collect()
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["chunks"]))}.values())
+    found = texts.join(F.broadcast(known), "doc_id").mapInPandas(cut, "doc_id long, quality int, chunks array<binary>")
+    rows = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("chunks").alias("chunks")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     net = Net(seed)
     net.train([[bytes(c) for c in r["chunks"]] for r in rows], np.array([r["quality"] for r in rows], np.float32), seed=seed)
     return net

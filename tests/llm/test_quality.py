@@ -44,3 +44,11 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score(docs, quality.fit(docs, one)).collect()} == {1.0}
     assert quality.score(docs.limit(0), net).collect() == []
+
+
+def test_copies_of_a_labelled_row_are_one_before_the_driver(spark):
+    docs = spark.range(400).selectExpr("id % 4 doc_id", "concat('text ', id % 4) text", "id")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    one = quality.fit(docs.where("id < 4"), labels)
+    many = quality.fit(docs, labels)
+    assert np.array_equal(one.table, many.table) and np.array_equal(one.out, many.out)
