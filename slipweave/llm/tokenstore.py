@@ -48,7 +48,7 @@ from .memory import give_back, small_batches
 
 MEMO, PER_CALL, PIECE = 2_000_000, 2048, 1 << 23
 WINDOW, MEAN, LEAST, MOST, DIGEST = 8, 512, 64, 4096, 16
-#: Classes of characters: white space, letters, numbers, all others, and those whose class may differ between engines.
+#: Classes of characters: white space, letters, numbers, all others, and those whose class may differ between libraries.
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level models write the other bytes as the characters from 256 on.
@@ -481,6 +481,12 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return group.applyInPandas(run, "digest binary, n_ids long, crc long")
 
 
+def _pieces_of(recipes: DataFrame) -> DataFrame:
+    """(root, k, digest) of every chunk of every recipe."""
+    pieces = F.expr(f"transform(sequence(0, cast(length(digests) div {DIGEST} - 1 as int)), k -> substring(digests, k * {DIGEST} + 1, {DIGEST}))")
+    return recipes.select("root", F.posexplode(pieces).alias("k", "digest"))
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the store's files.
 
@@ -489,8 +495,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     sorted part plus the totals of the parts before it."""
     recipes = spark.read.parquet(f"{folder}/recipes")
 
-    pieces = F.expr(f"transform(sequence(0, cast(length(digests) div {DIGEST} - 1 as int)), k -> substring(digests, k * {DIGEST} + 1, {DIGEST}))")
-    parts = recipes.select("root", F.posexplode(pieces).alias("k", "digest")).join(read_chunks(spark, folder), "digest", "left")
+    parts = _pieces_of(recipes).join(read_chunks(spark, folder), "digest", "left")
     whole = parts.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "crc", "n_ids"))).alias("c"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,6 +519,31 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _running(docs)
 
 
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, ids) of every document, put together from its recipe and the packs, whose
+    chunks are verified; ids are little-endian unsigned 32-bit integers with the end id."""
+    index, manifest = spark.read.parquet(f"{folder}/index"), spark.read.parquet(f"{folder}/manifest")
+    packs = index.repartition(2 * max(1, manifest.count()), "pack").groupBy("pack")
+
+    def read(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("offset")
+        fs, base = pafs.FileSystem.from_uri(f"{folder}/packs")
+        with fs.open_input_stream(f"{base}/{group['pack'].iloc[0]}", compression="zstd") as f:
+            data = [f.read(4 * n) for n in group["n_ids"]]
+        if any(_hash(x) != bytes(d) for x, d in zip(data, group["digest"])):
+            raise ValueError(f"chunk differs from its digest in {group['pack'].iloc[0]}")
+        return pd.DataFrame({"digest": group["digest"].to_numpy(), "data": data})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [b"".join(x["data"] for x in c) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.binary())], ["root", "ids"])
+
+    parts = _pieces_of(spark.read.parquet(f"{folder}/recipes")).join(packs.applyInPandas(read, "digest binary, data binary"), "digest")
+    whole = parts.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("c")).mapInArrow(join, "root binary, ids binary")
+    return spark.read.parquet(f"{folder}/documents").join(whole, "root").select("doc_id", "ids")
+
+
 def _running(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -47,6 +47,26 @@ def test_odd_rows(spark):
     assert [r[1:3] for r in got(twice)] == [(0, r := want(rows)[2][2]), (r, r)]
 
 
+def test_ids_come_back_whole(spark, tmp_path):
+    lib, texts = Tokenizer.from_file(PATH), [*ODD, None, "word " * 40000, "word " * 40000, "a passage of some words, " * 300]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = f"file://{tmp_path}/ids"
+    tokenstore.write(frame, folder, PATH)
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tokenstore.read_ids(spark, folder).collect()}
+    assert got == {i: lib.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+
+
+def test_long_texts_in_pieces_and_a_full_memo(monkeypatch):
+    lib, enc = Tokenizer.from_file(PATH), tokenstore.Encoder(PATH)
+    monkeypatch.setattr(tokenstore, "PIECE", 50)
+    monkeypatch.setattr(tokenstore, "MEMO", 40)
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        texts = ["".join(rnd.choice(["'s", " ", "  ", "\n", "ab", "é", "'ll", "12", "!", " q", "日", "\u2003", "😀", "\x07"], rnd.integers(0, 120))) for _ in range(6)]
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_chunks_and_checksums():
     rnd = np.random.default_rng(2)
     ids = rnd.integers(0, 50000, 30000).astype("<u4")
