@@ -41,6 +41,8 @@ from .components import components
 from .memory import give_back, small_batches
 
 _BLOCK = 1 << 15  # shingles hashed at a time
+#: Rows of 20 bytes that are broadcast at most.
+MOST_HOT = 500_000
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -182,14 +184,24 @@ def links(classes: DataFrame, distance: int = 4, blocks: int = 6, chunk: int = 1
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 6, seed: int = 42, chunk: int = 1000) -> DataFrame:
+def blocks_for(classes: int, distance: int) -> int:
+    """The fewest pieces, two more than the distance at least, whose keys have a bit more
+    than it takes to tell the classes apart: then a key meets few classes by chance, and
+    candidates grow with the table and not with its square. Any number finds the same pairs."""
+    blocks = min(64, distance + 2)
+    while blocks < 64 and sum(sorted(w for _, w in _cuts(blocks))[:blocks - distance]) <= classes.bit_length():
+        blocks += 1
+    return blocks
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int | None = None, seed: int = 42, chunk: int = 1000) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text)."""
-    if not 0 <= distance < blocks <= 64:
+    if not 0 <= distance < (blocks or 64) <= 64:
         raise ValueError("blocks must exceed distance")
     small_batches(docs.sparkSession)
     marked = materialize(fingerprints(docs, words, seed), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = components(links(classes.where("node is not null"), distance, blocks, chunk))
+    found = components(links(classes.where("node is not null"), distance, blocks or blocks_for(classes.count(), distance), chunk))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp")
 
@@ -301,9 +313,11 @@ def _similar_links(classes: DataFrame, least: tuple[int, int], tables: int, bloc
     lengths = classes.select(F.max(F.size("fps"))).first()[0] or 0
     rows = classes.select(F.explode(F.array(*keys)).alias("key"), "node", F.col("n").cast("int").alias("n"), *[F.col("fps")[k].alias(f"f{k}") for k in range(lengths)])
     rows = rows.select("key.t", "key.v", "node", "n", *[f"f{k}" for k in range(lengths)])
-    # Keys of many classes are cut into chunks and each pair of chunks is a task's group; there are no more keys than values of the pieces.
+    # Keys of many classes are cut into chunks and each pair of chunks is a task's group.
     hot = rows.groupBy("t", "v").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("t", "v", F.ceil(F.col("c") / chunk).cast("int").alias("m"))
-    rows = rows.join(hot, ["t", "v"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    hot = materialize(hot, "hot")
+    small = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
+    rows = rows.join(small, ["t", "v"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
     rows = rows.withColumn("task", F.explode(tasks))

@@ -65,6 +65,16 @@ def test_links_in_hot_keys_are_complete(spark):
     found = {r[0]: r[1] for r in simhash.components(simhash.links(frame, chunk=20)).collect()}
     want = brute_components({i: x for x, i in classes.items()})
     assert {i: found.get(i, i) for i in want} == want
+    for blocks in (5, 7, 8):  # any number of pieces finds the same pairs
+        found = {r[0]: r[1] for r in simhash.components(simhash.links(frame, blocks=blocks)).collect()}
+        assert {i: found.get(i, i) for i in want} == want
+
+
+def test_blocks_grow_with_the_table():
+    sizes = [simhash.blocks_for(n, 4) for n in (0, 10, 10**5, 10**6, 10**7, 10**9, 10**11)]
+    assert sizes == sorted(sizes) and sizes[0] == 6 and sizes[-1] > 8
+    for n, blocks in ((10**5, sizes[2]), (10**9, sizes[5])):
+        assert min(sum(w for _, w in c) for c in simhash.combinations(simhash._cuts(blocks), blocks - 4)) > n.bit_length()
 
 
 def test_odd_rows(spark):
