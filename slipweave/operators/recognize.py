@@ -143,7 +143,7 @@ def read_bytes(path: str) -> bytes:
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    with store.open_input_stream(name) as f:
+    with store.open_input_stream(name, compression=None) as f:
         return f.read()
 
 

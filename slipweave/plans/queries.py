@@ -1,4 +1,4 @@
-"""Driver queries for the engine's own operators, each with its DuckDB statement."""
+"""Driver queries for the library's own operators, each with its DuckDB statement."""
 
 from __future__ import annotations
 

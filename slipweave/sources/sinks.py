@@ -56,7 +56,7 @@ def export_folders(results: DataFrame, output_dir: str) -> None:
             folder = f"{base}/{r['output_id']}"
             store.create_dir(folder, recursive=True)
             for name, content in (("raw.json", r["raw"]), ("text.txt", r["text"])):
-                with store.open_output_stream(f"{folder}/{name}") as out:
+                with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
                     out.write(content.encode())
 
     results.select("output_id", "raw", "text").foreachPartition(save)
