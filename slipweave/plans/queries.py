@@ -16,7 +16,7 @@ from ..schemas import RAW
 from ..sources import sinks
 from ..sources.files import latest, supported, table
 from . import dataset, pipeline
-from .fixtures import DONE, INPUTS, MANIFEST, RECEIPTS, TEXTS, duck, view
+from .fixtures import DONE, INPUTS, MANIFEST, RECEIPTS, TEXTS, duck, receipts, view
 
 _A, _B, _T, _C, _D = (f"({duck(x)})" for x in (RECEIPTS, INPUTS, TEXTS, MANIFEST, DONE))
 
@@ -52,7 +52,7 @@ q as (select *, case when num_lines = 0 then 'empty' when avg_confidence < 0.5 t
 
 
 def _fragments(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, RECEIPTS)
+    return receipts(spark, d)
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
