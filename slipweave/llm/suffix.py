@@ -41,11 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import discard, materialize
 from .memory import give_back, small_batches
 from .simhash import groups_of
 
 LENGTH, GRAM = 100, 32
+#: Bytes of texts whose anchors are found at once.
+SLICE = 1 << 18
 _BASE = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,14 +77,16 @@ def window_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return total
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all grams, anchor positions, first windows, last windows) for one text."""
+def anchors(data: np.ndarray, length: int, gram: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all grams, anchor positions, first windows, last windows, texts) for texts
+    that lie back to back and end at `ends`; places count from the first text's start."""
     h = window_hashes(data, gram)
     w, n = length - gram + 1, len(data) - length + 1
     if n <= 0:
-        return h, *(np.zeros(0, np.int64),) * 3
+        return h, *(np.zeros(0, np.int64),) * 4
+    ends = np.array([len(data)]) if ends is None else ends
     # The leftmost minimum of w values, by doubling: a table of powers of two.
-    best, at, size = h, np.arange(len(h)), 1
+    best, at, size = h, np.arange(len(h), dtype=np.int32), 1
     while 2 * size <= w:
         a, b = best[:-size], best[size:]
         right = b < a
@@ -91,9 +95,20 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         size *= 2
     a, b = best[:n], best[w - size:w - size + n]
     choice = np.where(b < a, at[w - size:w - size + n], at[:n])
-    new = np.flatnonzero(np.r_[True, choice[1:] != choice[:-1]])
-    pos = choice[new]
-    return h, pos, new, np.r_[new[1:], n] - 1
+    # Windows inside one text; a run of one choice ends with its text.
+    starts = np.r_[0, ends[:-1]]
+    long = np.flatnonzero(ends - starts >= length)
+    edges = np.zeros(n + 1, np.int8)
+    edges[starts[long]] += 1
+    edges[ends[long] - length + 1] -= 1
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(choice[1:], choice[:-1], out=new[1:])
+    new[starts[long]] = True
+    new = np.flatnonzero(new & (np.cumsum(edges[:-1], dtype=np.int8) > 0))
+    text = np.searchsorted(ends, new, "right")
+    last = np.minimum(np.r_[new[1:], n] - 1, ends[text] - length)
+    return h, choice[new].astype(np.int64), new, last, text
 
 
 def _kind(n: int) -> type:
@@ -113,7 +128,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             key[:n - k] |= text[k:]
     size = per
     while True:
-        order = np.argsort(key, kind="stable").astype(kind)
+        order = np.argsort(key).astype(kind)  # suffixes that agree so far come in any order
         key = key[order]
         rank = np.empty(n, kind)
         rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=kind)
@@ -159,7 +174,7 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndar
             symbol, to, owner = symbol[real], to[real], owner[real]
         if not len(to):
             break
-        near = np.argsort(to, kind="stable")  # one symbol of one interval maps to neighbours
+        near = np.argsort(symbol, kind="stable")  # places of one symbol rise with the intervals: one of one interval maps to neighbours
         to, own, sym = to[near], owner[near], symbol[near]
         del near, owner, symbol
         new = np.flatnonzero(np.r_[True, (to[1:] != to[:-1] + 1) | (own[1:] != own[:-1]) | (sym[1:] != sym[:-1])])
@@ -258,25 +273,37 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, uid, a, b, late): anchor hash, first and last window. Rows whose context's bytes
     stand earlier in the batch are marked late and dealt evenly."""
 
+    def some(uids: list[int], raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Columns of the anchors of some texts, and their places in them back to back."""
+        ends = np.cumsum([len(r) for r in raws])
+        h, pos, a, b, text = anchors(np.frombuffer(b"".join(raws), np.uint8), length, gram, ends)
+        with np.errstate(over="ignore"):  # the grams at both ends, the anchor and its place
+            key = h[a] * _BASE + h[b + length - gram] * _MIX + h[pos] + (pos - a).astype(np.uint64)
+        start = (ends - [len(r) for r in raws])[text]
+        return h[pos].view(np.int64), np.array(uids, np.int64)[text], (a - start).astype(np.int32), (b - start).astype(np.int32), key, a
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            texts, begin = [], 0
+            out: list[tuple[np.ndarray, ...]] = []
+            texts: list[bytes] = []
+            uids: list[int] = []
+            begin = done = size = 0  # bytes of the slices before; texts in them; bytes waiting
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = _bytes(text.as_py())
-                if len(raw) < length:
-                    continue
-                data = np.frombuffer(raw, np.uint8)
-                h, pos, a, b = anchors(data, length, gram)
-                with np.errstate(over="ignore"):  # the grams at both ends, the anchor and its place
-                    key = h[a] * _BASE + h[b + length - gram] * _MIX + h[pos] + (pos - a).astype(np.uint64)
-                for o, x in zip(out, (h[pos].view(np.int64), np.full(len(a), uid, np.int64), a.astype(np.int32), b.astype(np.int32), key, a + begin)):
-                    o.append(x)
-                texts.append(raw)
-                begin += len(raw)
+                if len(raw) >= length:
+                    texts.append(raw)
+                    uids.append(uid)
+                    size += len(raw)
+                if size >= SLICE:
+                    *cols, at = some(uids[done:], texts[done:])
+                    out.append((*cols, at + begin))
+                    begin, done, size = begin + size, len(texts), 0
+            if size:
+                *cols, at = some(uids[done:], texts[done:])
+                out.append((*cols, at + begin))
             if not texts:
                 continue
-            h, uid, a, b, key, at = (np.concatenate(o) for o in out)
+            h, uid, a, b, key, at = (np.concatenate(o) for o in zip(*out))
             late = _late(np.frombuffer(b"".join(texts), np.uint8), key, uid, a, at, b - a + length)
             h[late] = _spread(uid[late], a[late])
             del out, texts, key, at
@@ -456,7 +483,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int
     rows = anchor_rows(docs, length, gram).repartition(parts, "h").sortWithinPartitions("h")
     found = materialize(_groups(rows, chunk), "groups")
     settled = found.where(F.col("fate") == SETTLED).select("uid", "a", "b")
-    return settled.unionAll(_expand(_contexts(found, docs, length), length))
+    spans = materialize(settled.unionAll(_expand(_contexts(found, docs, length), length)), "spans")
+    discard(found)
+    return spans
 
 
 def merged(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -479,8 +508,7 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _with_spans(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
     """(uid, doc_id, text, windows) per document of docs(doc_id, text)."""
     rows, single = _numbered(docs)
-    spans = materialize(repeated(single, length, gram, chunk), "spans")
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
+    spans = repeated(single, length, gram, chunk).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
     return rows.join(spans, "uid", "left")
 
 

@@ -32,12 +32,25 @@ def test_anchor_choice():
     rnd = random.Random(2)
     data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(500)), np.uint8)
     h = suffix.window_hashes(data, 24)
-    _, pos, first, last = suffix.anchors(data, 100, 24)
+    _, pos, first, last, _ = suffix.anchors(data, 100, 24)
     for p, a, b in zip(pos, first, last):
         assert all(s + int(np.argmin(h[s:s + 77])) == p for s in range(a, b + 1))
     assert first[0] == 0 and last[-1] == 400 and (first[1:] == last[:-1] + 1).all()
 
 
+def test_anchors_of_texts_back_to_back():
+    rnd = random.Random(7)
+    raws = [bytes(rnd.choice(b"abc") for _ in range(rnd.choice([0, 5, 99, 100, 101, 250, 700]))) for _ in range(60)]
+    ends = np.cumsum([len(r) for r in raws])
+    _, pos, a, b, text = suffix.anchors(np.frombuffer(b"".join(raws), np.uint8), 100, 24, ends)
+    got = [(t, p - s, x - s, y - s) for t, p, x, y in zip(text.tolist(), pos.tolist(), a.tolist(), b.tolist()) for s in [int(ends[t]) - len(raws[t])]]
+    want = []
+    for t, r in enumerate(raws):
+        _, p, x, y, _ = suffix.anchors(np.frombuffer(r, np.uint8), 100, 24)
+        want += [(t, *v) for v in zip(p.tolist(), x.tolist(), y.tolist())]
+    assert got == want
+
+
 def test_bounded_prefixes():
     rnd = random.Random(1)
     for _ in range(40):
