@@ -52,11 +52,16 @@ def materialize(frame: DataFrame, label: str, path: str | None = None) -> DataFr
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     if path is None:
-        fs, p = _at(spark, target)
-        fs.deleteOnExit(p)
+        temporary(spark, target)
     return spark.read.schema(frame.schema).parquet(target)
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """A folder that goes when the session's JVM ends, if not before."""
+    fs, p = _at(spark, path)
+    fs.deleteOnExit(p)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p)
