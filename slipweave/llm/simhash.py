@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import discard, materialize
 from .components import components
 from .memory import give_back, small_batches
 
@@ -301,7 +301,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
     return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
 
 
-def _similar_links(classes: DataFrame, least: tuple[int, int], tables: int, blocks: int, agree: int, distance: int, chunk: int) -> DataFrame:
+def _similar_links(classes: DataFrame, least: tuple[int, int], lengths: int, tables: int, blocks: int, agree: int, distance: int, chunk: int) -> DataFrame:
     """(a, b): of each key's pairs within the distance, and of sizes that can reach the
     similarity, a spanning forest of least distances."""
     keys = []
@@ -310,7 +310,6 @@ def _similar_links(classes: DataFrame, least: tuple[int, int], tables: int, bloc
             mask = sum(((1 << w) - 1) << s for s, w in chosen)
             signed = mask - (1 << 64) if mask >> 63 else mask
             keys.append(F.struct(F.lit(t << 16 | c).alias("t"), F.col("fps")[t].bitwiseAND(F.lit(signed)).alias("v")))
-    lengths = classes.select(F.max(F.size("fps"))).first()[0] or 0
     rows = classes.select(F.explode(F.array(*keys)).alias("key"), "node", F.col("n").cast("int").alias("n"), *[F.col("fps")[k].alias(f"f{k}") for k in range(lengths)])
     rows = rows.select("key.t", "key.v", "node", "n", *[f"f{k}" for k in range(lengths)])
     # Keys of many classes are cut into chunks and each pair of chunks is a task's group.
@@ -347,6 +346,7 @@ def _similar_links(classes: DataFrame, least: tuple[int, int], tables: int, bloc
             some = spanning(len(ids), a, b, np.concatenate(apart))
             x, y = node[a[some]], node[b[some]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -379,6 +379,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, in
         for batch in batches:
             found = [shingles(t.as_py(), words, seed).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "s"])
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,6 +389,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, in
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append((p + q) * both >= p * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = materialize(_texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"]), "sets")
@@ -410,8 +412,9 @@ def similar_texts(
     first = marked.groupBy("class").agg(F.min_by(F.struct("n", "fps", "part"), F.col("doc_id")).alias("r"), F.min("doc_id").alias("node"))
     classes = materialize(first.select("class", "node", "r.*"), "classes")
     known = classes.where("node is not null")
-    met = materialize(_similar_links(known, least, tables, blocks, agree, distance, chunk), "met")
+    met = materialize(_similar_links(known, least, lengths, tables, blocks, agree, distance, chunk), "met")
     pairs = materialize(bounded(met, known, least), "pairs")
+    discard(met)
     found = components(verified(pairs, docs, words, least, seed))
     named = classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")

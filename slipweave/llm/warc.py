@@ -37,7 +37,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize, new_path, remove
+from ..plans.shared import materialize, new_path, remove, temporary
 
 HEADERS = (
     "file string, offset long, page_id long, uri string, payload_bytes long, payload_digest string, record_type string, "
@@ -340,4 +340,6 @@ def deduplicate(spark: SparkSession, pages: DataFrame, folder: str | None = None
     first = write_archives(pages, f"{base}/raw")
     second = deduplicate_archives(spark, first, f"{base}/raw", f"{base}/dedup", min_bytes)
     remove(spark, f"{base}/raw")
+    if folder is None:
+        temporary(spark, base)
     return read_archives(second, f"{base}/dedup")
