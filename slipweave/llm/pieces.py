@@ -13,9 +13,9 @@ or the unknown piece when the model has none.
 A model's character map and white-space rules are applied first; decoding gives the
 normalized text back. Models that mark words at their ends are refused.
 
-Texts are cut where no piece can reach across (before a run of word marks, around
-line ends), so equal units of a text are solved once; the memo holds at most
-`MEMO` units and is then dropped.
+Texts are cut between characters that stand side by side in no piece, which no piece
+or merge can reach across, so equal units are solved once while remembered: texts are
+cut, looked up and put together in arrays, and the memo holds at most `MEMO` units.
 
 Defined cases: null or empty text has no ids; long texts are walked unit by
 unit; a text that itself holds the word mark decodes to a space there.
@@ -34,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .idmemo import IdMemo
 from .memory import small_batches
 
 MARK = "▁"
-MEMO, PAIRS = 250_000, 300_000
+MEMO, PAIRS, PART = 1_000_000, 300_000, 1 << 21
 # Model and piece types of the public model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -180,19 +181,21 @@ class Codec:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in rows]
-        self.units = self._cuts(words)
-        self.memo: dict[str, bytes] = {}
+        self.memo = IdMemo(MEMO)
         self.pair_memo: dict[int, bool] = {}
-
-    @staticmethod
-    def _cuts(words: dict[str, int]) -> re.Pattern | None:
-        """Pattern whose matches no piece can reach across: before word marks and
-        around line ends. None if pieces hold marks inside, as nothing is safe then."""
-        if any(MARK in p.lstrip(MARK) for p in words):
-            return None
-        if any("\n" in p for p in words):
-            return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        return re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
+        self.pairs = {p[k:k + 2] for p in words for k in range(len(p) - 1)}
+        # Number of each character that stands beside another one in a piece, and a table of the pairs that do.
+        inner = sorted({c for pair in self.pairs for c in pair})
+        self.number = np.zeros(0x110000, np.uint16 if len(inner) < 1 << 16 else np.uint32)
+        self.number[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.wide = len(inner) + 1
+        flat = [int(self.number[ord(x)]) * self.wide + int(self.number[ord(y)]) for x, y in self.pairs]
+        if self.wide <= 1 << 13:
+            self.glued = np.zeros(self.wide**2, bool)
+            self.glued[flat] = True
+        else:
+            self.glued = None
+            self.sorted_pairs = np.sort(np.array(flat, np.int64))
 
     def _merges(self, words: dict[str, int]) -> None:
         """For each piece that merging can make: its boundary pieces over time, as
@@ -309,29 +312,76 @@ class Codec:
                 best[e], start[e], piece[e] = total, s, i
         bare(len(unit))
 
+    def _units(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Starts of the units of texts that lie back to back, as code points."""
+        number = self.number[codes].astype(np.int32 if self.wide < 1 << 15 else np.int64)
+        pair = number[:-1] * self.wide + number[1:]
+        if self.glued is not None:
+            together = self.glued[pair]
+        else:
+            at = np.minimum(np.searchsorted(self.sorted_pairs, pair), max(0, len(self.sorted_pairs) - 1))
+            together = self.sorted_pairs[at] == pair
+        start = np.r_[True, ~together]
+        start[ends[:-1]] = True
+        return np.flatnonzero(start)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text cut between units."""
+        at = 0
+        while len(text) - at > PART:
+            cut = next((k for k in range(at + PART, at, -1) if text[k - 1:k + 1] not in self.pairs), len(text))
+            yield text[at:cut]
+            at = cut
+        if at < len(text):
+            yield text[at:]
+
+    def _solved(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._solve(u.decode("utf-8", "surrogatepass")) for u in units]
+        return np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+
+        def settle() -> None:
+            joined = "".join([p for _, p in waiting])
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            ends = np.cumsum([len(p) for _, p in waiting])
+            starts = self._units(codes, ends)
+            size = np.ones(len(codes), np.int8)
+            for least in (0x80, 0x800, 0x10000):
+                size += codes >= least
+            place = np.cumsum(size, dtype=np.int32) - size
+            ids, n = self.memo.ids(joined.encode("utf-8", "surrogatepass"), place[starts], self._solved)
+            upto = np.cumsum(n, dtype=np.int64)[np.searchsorted(starts, ends) - 1].tolist()
+            for (i, _), a, b in zip(waiting, [0, *upto], upto):
+                out[i].append(ids[a:b])
+            waiting.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            if text and self.normalize:
+                text = self.normalize(text)
+            if not text:
+                continue
+            for part in self._parts((MARK if self.prefix else "") + text.replace(" ", MARK)):
+                waiting.append((i, part))
+                held += len(part)
+                if held >= PART:
+                    settle()
+                    held = 0
+        if waiting:
+            settle()
+        whole = [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
+        if self.byte_ids:
+            return whole
+        # Without byte pieces, characters side by side that have no piece are one unknown piece.
+        return [x[~((x == self.unknown) & (np.r_[~x[:1], x[:-1]] == self.unknown))] for x in whole]
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
-        if text and self.normalize:
-            text = self.normalize(text)
-        if not text:
-            return np.zeros(0, "<u4")
-        marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        units = self.units.findall(marked) if self.units else [marked]
-        memo = self.memo
-        found = list(map(memo.get, units))
-        if None in found:
-            for k, x in enumerate(found):
-                if x is None:
-                    u = units[k]
-                    x = memo.get(u)
-                    if x is None:
-                        x = self._solve(u)
-                        if len(u) <= 256:
-                            if len(memo) >= MEMO:
-                                memo.clear()
-                            memo[u] = x
-                    found[k] = x
-        return np.frombuffer(b"".join(found), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the word mark put before the text is dropped."""
@@ -362,7 +412,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                found = [c.encode(t.as_py()) for t in batch.column(1)]
+                found = c.encode_all(batch.column(1).to_pylist())
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
@@ -391,14 +441,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, len(whole), 1024)):
             out = []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                ids = c.encode(text)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for text, ids in zip(texts, c.encode_all(texts)):
                 back = c.decode(ids)
                 text = c.normalize(text) if c.normalize else text
-                out.append((len(ids), zlib.crc32(ids.tobytes()), len(back), back == text))
+                out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), back == text))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(x, pa.int64()) for x in cols[:3]], pa.array(cols[3], pa.bool_())],

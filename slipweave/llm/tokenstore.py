@@ -37,13 +37,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.shared import materialize, new_path
+from ..plans.shared import discard, materialize, new_path, remove, temporary
+from .idmemo import IdMemo
 from .memory import give_back, small_batches
 
 MEMO, PER_CALL, PIECE = 2_000_000, 2048, 1 << 23
@@ -136,16 +136,6 @@ def groups(data: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, `size` of them, one range after the other."""
-    upto = np.cumsum(size, dtype=np.int64)
-    total = int(upto[-1]) if len(upto) else 0
-    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) < 1 << 30) else np.int64
-    out = np.repeat((start - upto + size).astype(kind), size)
-    out += np.arange(total, dtype=kind)
-    return out
-
-
 class Encoder:
     """The tokenizers library with a memo over the groups that byte-level models split
     texts into before they look at the merges.
@@ -175,12 +165,10 @@ class Encoder:
         )
         self.groups = Tokenizer(self.lib.model)  # one model in memory
         self.groups.pre_tokenizer = pre_tokenizers.Split(_shown(self.parting), "isolated")
-        # Known groups, the number of ids of each, and all their ids back to back.
-        self.known, self.sizes, self.flat = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.memo = IdMemo(MEMO)
 
-    def _learn(self, new: pa.Array) -> None:
-        """Appends groups to the known ones."""
-        keys = new.to_pylist()
+    def _solve(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some groups has, and all their ids."""
         several = np.array([self.parting in k for k in keys])  # what parts the groups in a call stands in these
         rest = [k for k, x in zip(keys, several) if not x]
         sizes, flat = np.zeros(len(keys), np.int32), []
@@ -202,36 +190,14 @@ class Encoder:
                 parts += [whole[at:ends[k]], np.array([t.id for t in self.lib.model.tokenize(_shown(keys[k]))], np.uint32)]
                 sizes[k], at = len(parts[-1]), ends[k]
             flat = [*parts, whole[at:]]
-        self.known = pa.concat_arrays([self.known, new])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *flat])
-
-    def _places(self, words: pa.Array) -> np.ndarray:
-        """Where different groups are among the known ones, which they join."""
-        at = pc.index_in(words, value_set=self.known)
-        if not at.null_count:
-            return at.to_numpy()
-        new = at.is_null().to_numpy(zero_copy_only=False)
-        at = at.fill_null(0).to_numpy().copy()
-        if len(self.known) + new.sum() > MEMO:
-            mine = np.sort(at[~new])
-            start = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-            self.flat = self.flat[_ranges(start[mine], self.sizes[mine])]
-            self.known, self.sizes = self.known.take(pa.array(mine)), self.sizes[mine]
-            at[~new] = np.searchsorted(mine, at[~new])
-        at[new] = len(self.known) + np.arange(new.sum())
-        self._learn(words.filter(pa.array(new)))
-        return at
+        return sizes, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
 
     def _split(self, data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> list[bytes]:
         """Ids of texts that lie back to back, none of them empty."""
         starts = groups(data, kind, ends)
-        offsets = np.r_[starts, len(data)].astype(np.int32)
-        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        which = self._places(found.dictionary)[found.indices.to_numpy()]
-        n = self.sizes[which]
-        raw = self.flat[_ranges((np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[which], n)].tobytes()
-        cuts = [0, *(4 * np.cumsum(n, dtype=np.int64)[np.searchsorted(starts, ends) - 1]).tolist()]
+        ids, n = self.memo.ids(data, starts, self._solve)
+        raw, upto = ids.tobytes(), np.cumsum(n, dtype=np.int64)
+        cuts = [0, *(4 * upto[np.searchsorted(starts, ends) - 1]).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _pieces(self, text: bytes) -> list[bytes]:
@@ -441,9 +407,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 0) -> None:
     ordered = found.select("doc_id", "root").repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     materialize(ordered, "documents", f"{folder}/documents")
     materialize(_manifest(index), "manifest", f"{folder}/manifest")
-    from ..plans.shared import remove
-
     remove(docs.sparkSession, f"{folder}/new")
+    discard(rows)
 
 
 def _manifest(index: DataFrame) -> DataFrame:
@@ -567,6 +532,8 @@ def _running(docs: DataFrame) -> DataFrame:
 
 def store_and_read(docs: DataFrame, path: str, end: int = 0, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "store")
-    write(docs, folder, path, end)
-    return read_documents(spark, folder)
+    target = folder or new_path(spark, "store")
+    write(docs, target, path, end)
+    if folder is None:
+        temporary(spark, target)
+    return read_documents(spark, target)

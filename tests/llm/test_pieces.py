@@ -68,6 +68,31 @@ def test_models_that_normalize(codec, rule, squeeze):
         assert own.encode(t).tolist() == lib.encode(t), repr(t)
 
 
+def test_a_model_without_byte_pieces(codec):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(open(PATH, "rb").read())
+    kept = [p for p in model.pieces if p.type != pb.ModelProto.SentencePiece.BYTE]
+    del model.pieces[:]
+    model.pieces.extend(kept)
+    model.trainer_spec.byte_fallback = False
+    own = pieces.Codec.__new__(pieces.Codec)
+    own._load(model.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    for t in [*texts(codec, 60), "\x07\x07\x07 a \x07b\x07\x06", "\x05", "ⴰⴱⴲ x ⴳ"]:
+        assert own.encode(t).tolist() == lib.encode(t), repr(t)
+
+
+def test_long_texts_in_parts_and_a_full_memo(codec, monkeypatch):
+    monkeypatch.setattr(pieces, "PART", 40)
+    own = pieces.Codec(PATH)
+    own.memo.most = 30
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    many = texts(codec, 60)
+    assert [x.tolist() for x in own.encode_all([*many, None, ""])] == [*lib.encode(many), [], []]
+
+
 def test_table(spark, codec):
     rows = [(1, None, 7), (2, "", 7), (3, "The thing is.", 7), (3, "The thing is.", 7), (None, "a b", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
