@@ -307,7 +307,7 @@ union all select 'in/' || output_id || '.png', output_id, status, 0, 0.0, 'canno
     "overwrite": f"with {_OK} select doc_id, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) output_id from b",
     "skipped_count": f"""with {_OK}, i as (select regexp_extract(path, '([^/]+)\\.[^.]*$', 1) in (select output_id from {_D}) done from b)
 select count(*) found, count(*) filter (not done) todo, count(*) filter (done) skipped from i""",
-    "latest_text": "select 'r' || doc_id % 400 output_id, arg_max(text, doc_id % 10 * 1000000000 + doc_id) text from documents group by 1",
+    "latest_text": "select 'r' || doc_id % 400 output_id, arg_max_null(text, doc_id % 10 * 1000000000 + doc_id) text from documents group by 1",
     "manifest_order": f"""select row_number() over (order by pos % 3, pos // 16, status is distinct from 'error', pos) - 1 line, pos, output_id from {_C}""",
     "output_paths": f"""with i as (select doc_id, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) s from {_B})
 select doc_id, 'out/' || s || '/raw.json' raw_json, 'out/' || s || '/text.txt' text_file from i""",

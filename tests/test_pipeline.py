@@ -253,6 +253,24 @@ def test_pixel_steps_by_a_fake_library(monkeypatch):
     pixels._opener.cache_clear()
 
 
+def test_contrast_by_a_fake_library(monkeypatch):
+    """Lightness alone is equalized, with the clip limit and tiles of the settings."""
+    import numpy as np
+
+    seen = []
+    cv2 = types.SimpleNamespace(
+        COLOR_RGB2LAB="in", COLOR_LAB2RGB="out", split=lambda x: [x[..., k] for k in range(3)], merge=lambda x: np.stack(x, axis=-1),
+        cvtColor=lambda x, way: seen.append(way) or x,
+        createCLAHE=lambda clipLimit, tileGridSize: seen.append((clipLimit, tileGridSize)) or types.SimpleNamespace(apply=lambda light: light + 1),
+    )
+    monkeypatch.setitem(sys.modules, "cv2", cv2)
+    monkeypatch.setattr(pixels, "_opener", lambda: types.SimpleNamespace(fromarray=lambda x: x))
+    image = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    got = pixels.PixelPreprocessor(Settings(clahe_clip=3.5)).contrast(image)
+    assert seen == ["in", (3.5, (8, 8)), "out"]
+    assert (got[..., 0] == image[..., 0] + 1).all() and (got[..., 1:] == image[..., 1:]).all()
+
+
 def test_exif_flag(spark):
     tags = spark.createDataFrame([(None,), (1,), (0,), (6,), (9,)], "t int")
     assert [r[0] for r in tags.select(images.exif_transposed(F.col("t"))).collect()] == [False, False, True, True, True]
