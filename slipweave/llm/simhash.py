@@ -398,7 +398,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, in
 
 
 def similar_texts(
-    docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), lengths: int = 4, tables: int = 2, blocks: int = 8, agree: int = 2,
+    docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), lengths: int = 4, tables: int = 3, blocks: int = 8, agree: int = 2,
     distance: int = 56, seed: int = 42, chunk: int = 1000,
 ) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text): components of texts
