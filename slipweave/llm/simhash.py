@@ -13,11 +13,17 @@ similar_texts() uses the same blocks for near copies by similarity. Texts whose
 sets have a Jaccard similarity of 4/5 differ in some 10 of 64 bits, and no choice of
 blocks both meets all those pairs and keeps keys rare. So several fingerprints are
 taken of each set: `tables` of them give keys, each of any `agree` of its pieces, and
-all together, as one longer fingerprint, give the distance that is verified. Links of
-a group go on as a spanning forest of least distances, and the similarity of every
-link that goes on is worked out on the whole sets. Nothing below the similarity is
-linked; pairs that differ in at most blocks - agree bits of a keyed fingerprint always
-meet, others with a probability that falls with the distance (measured in the README).
+all together, as one longer fingerprint, give the distance within which a link is tried.
+Links of a group go on as a spanning forest of least distances, and the similarity of
+every link that goes on is worked out on the whole sets. This joins most of each group
+of near copies, but not all: blocks meet such pairs with a probability only.
+
+A second search then meets every pair that is left. Two sets of that similarity share
+one of their first hashes in any one order, n - ceil(p n / q) + 1 of a set of n
+(rest_links). Common hashes come last in that order; shared hashes inside one component
+have nothing left to join and go before anything is paired; of what is left, sizes, places
+in the order and parities of the sets bound the similarity from above, and the whole
+sets decide. Both searches together find every link that joins anything.
 
 Defined cases: null text is empty; no words give fingerprint zero, linked like
 any other; equal rows share a class; a null doc_id is kept but is never a
@@ -41,6 +47,8 @@ from .components import components
 from .memory import give_back, small_batches
 
 _BLOCK = 1 << 15  # shingles hashed at a time
+_COUNTED, _SPREAD = 1 << 22, 1 << 19  # hashes counted, keys sent at a time
+_ROW = np.dtype([("key", "<u4"), ("at", "<u4"), ("n", "<u4"), ("class", "<i8"), ("component", "<i8")])
 #: Rows of 20 bytes that are broadcast at most.
 MOST_HOT = 500_000
 
@@ -248,31 +256,44 @@ def set_fingerprints(found: np.ndarray, lengths: int) -> list[int]:
     return out
 
 
-def quarter(s: np.ndarray) -> np.ndarray:
-    """16 bits of each hash in a quarter of the range, as a set; two such sets differ
-    in no more places than the whole sets do."""
-    return np.unique((s[s >> np.uint64(62) == 0] >> np.uint64(46)).astype(np.uint16))
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bits that say on which of a power of two of places, two a hash at least, an odd
+    number of hashes falls; two sets differ in no fewer hashes than their parities in bits."""
+    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Parities (the last axis) on half as many places."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _name(s: np.ndarray, seed: int) -> int:
+    """The class of a set of hashes, as a signed long."""
+    return int.from_bytes(xxhash.xxh64_digest(s.tobytes(), seed), "big", signed=True)
+
+
 def described(docs: DataFrame, words: int, lengths: int, seed: int) -> DataFrame:
-    """(doc_id, class, n, fps, part): the class names the shingle set, n is its size."""
+    """(doc_id, class, n, fps, part): the class names the shingle set, n is its size,
+    part its parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, prints, parts = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words, seed)
-                names.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
+                names.append(_name(s, seed))
                 sizes.append(len(s))
                 prints.append(set_fingerprints(s, lengths))
-                parts.append(quarter(s).tobytes())
-            name = pa.array(np.array(names, np.uint64).view(np.int64))
+                parts.append(parity(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), name, pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
+                [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
                 ["doc_id", "class", "n", "fps", "part"],
             )
         give_back()
@@ -352,16 +373,17 @@ def _similar_links(classes: DataFrame, least: tuple[int, int], lengths: int, tab
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs of which a quarter of the sets leaves room for the similarity."""
+    """The pairs whose parities leave room for the similarity."""
     p, q = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for m, n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-                differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                good.append(differ <= m + n - 2 * -(-p * (m + n) // (p + q)))
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) != len(y):
+                    x, y = (folded(x), y) if len(x) > len(y) else (x, folded(y))
+                good.append(np.bitwise_count(x ^ y).sum(dtype=np.int64) <= m + n - 2 * -(-p * (m + n) // (p + q)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def side(name: str, n: str, part: str) -> DataFrame:
@@ -397,16 +419,205 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: tuple[int, in
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def common(texts: DataFrame, words: int, seed: int, least: int) -> np.ndarray:
+    """Hashes that stand often in some block of sets, and together in `least` sets or more.
+    The order of hashes follows from them; any order finds the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[times > 2].view(np.int64)), pa.array(times[times > 2])], ["h", "c"])
+
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column("text"):
+                held.append(shingles(text.as_py(), words, seed))
+                size += len(held[-1])
+                if size >= _COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+        give_back()
+
+    often = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+    return np.sort(often.toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def _first(s: np.ndarray, often: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """The hashes of which two sets of the similarity share one: by value, common ones last."""
+    p, q = least
+    if len(often):
+        late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+        s = np.concatenate([s[~late], s[late]])
+    return s[:len(s) - -(-p * len(s) // q) + 1]
+
+
+def _possible(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Whether sets of m and n hashes that share their i-th and j-th can reach the similarity."""
+    p, q = least
+    return (p + q) * (np.minimum(i, j) + 1 + np.minimum(m - i, n - j) - 1) >= p * (m + n)
+
+
+def _lags(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs inside the groups of a sorted array, by lag."""
+    if not len(group):
+        return
+    last = np.flatnonzero(np.r_[group[1:] != group[:-1], True])
+    end = np.repeat(last, np.diff(last, prepend=-1))
+    x, lag = np.arange(len(group)), 1
+    while len(x := x[x + lag <= end[x]]):
+        yield x, x + lag
+        lag += 1
+
+
+def shared(texts: DataFrame, often: np.ndarray, words: int, least: tuple[int, int], seed: int, chunk: int) -> DataFrame:
+    """(key, at, class, component): of the first hashes of each set, those shared with a set
+    of another component that can be similar. Keys travel in arrays, one for each bucket."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * parts
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt_out() -> pa.RecordBatch:
+            rows, bucket = np.concatenate(held), np.concatenate(where)
+            order = np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            cut = np.split(rows[order], starts[1:])
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["bucket", "rows"])
+
+        held, where, size = [], [], 0
+        for batch in batches:
+            for text, component in zip(batch.column("text"), batch.column("component")):
+                s = shingles(text.as_py(), words, seed)
+                mixed = _mixed(_first(s, often, least), 1)
+                rows = np.empty(len(mixed), _ROW)
+                rows["key"], rows["at"], rows["n"] = mixed >> np.uint64(32), np.arange(len(mixed)), len(s)
+                rows["class"], rows["component"] = _name(s, seed), component.as_py()
+                held.append(rows)
+                where.append(((mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32))
+                size += len(rows)
+                if size >= _SPREAD:
+                    yield dealt_out()
+                    held, where, size = [], [], 0
+        if size:
+            yield dealt_out()
+        give_back()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["bucket"], 1):
+            packed = table["rows"].to_pylist()
+            rows = np.frombuffer(b"".join(packed), _ROW)
+            bucket = np.repeat(table["bucket"].to_numpy().astype(np.int64), [len(x) // _ROW.itemsize for x in packed])
+            key = bucket << 32 | rows["key"]
+            order = np.lexsort((rows["component"], rows["class"], key))
+            rows, key = rows[order], key[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (rows["class"][1:] != rows["class"][:-1]) | (rows["component"][1:] != rows["component"][:-1])]
+            rows, key = rows[new], key[new]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(first, append=len(key))
+            several = np.minimum.reduceat(rows["component"], first) < np.maximum.reduceat(rows["component"], first)
+            inside = np.repeat(several, sizes)
+            rows, key, sizes = rows[inside], key[inside], np.repeat(sizes, sizes)[inside]
+            good = sizes > chunk  # of crowded keys all rows go on, to be dealt over tasks
+            few = np.flatnonzero(~good)
+            n, at, component, name = (rows[c][few].astype(np.int64) for c in ("n", "at", "component", "class"))
+            for x, y in _lags(key[few]):
+                some = (component[x] != component[y]) & (name[x] != name[y]) & _possible(n[x], n[y], at[x], at[y], least)
+                good[few[x[some]]] = True
+                good[few[y[some]]] = True
+            rows, key = rows[good], key[good]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(rows[c].astype(np.int64)) for c in ("at", "class", "component"))], ["key", "at", "class", "component"])
+        give_back()
+
+    sent = texts.mapInArrow(spread, "bucket int, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(met, "key long, at long, class long, component long")
+
+
+class _Parities:
+    """Parities of many sets, by their number of places."""
+
+    def __init__(self, parts: list[bytes]):
+        self.width = np.array([len(x) for x in parts], np.int64)
+        self.at, self.bits = np.zeros(len(parts), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            mine = np.flatnonzero(self.width == w)
+            self.at[mine] = np.arange(len(mine))
+            self.bits[w] = np.frombuffer(b"".join(parts[i] for i in mine.tolist()), np.uint8).reshape(len(mine), w)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the parities of x[i] and y[i] differ, of sets of similar sizes."""
+        out = np.zeros(len(x), np.int64)
+        wx, wy = self.width[x], self.width[y]
+        for w in np.unique(np.minimum(wx, wy)).tolist():
+            mine = np.flatnonzero(np.minimum(wx, wy) == w)
+            for k in range(0, len(mine), step := max(1, (1 << 23) // w)):
+                some = mine[k:k + step]
+                out[some] = np.bitwise_count(self._rows(x[some], w) ^ self._rows(y[some], w)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def _rows(self, x: np.ndarray, w: int) -> np.ndarray:
+        """Parities on w bytes."""
+        out, widths = np.empty((len(x), w), np.uint8), self.width[x]
+        for v in np.unique(widths).tolist():
+            bits = self.bits[v][self.at[x[widths == v]]]
+            while bits.shape[1] > w:
+                bits = folded(bits)
+            out[widths == v] = bits
+        return out.view(np.uint64)
+
+
+def rest_links(docs: DataFrame, marked: DataFrame, classes: DataFrame, found: DataFrame, words: int, least: tuple[int, int], seed: int, chunk: int) -> DataFrame:
+    """(a, b): every pair of nodes of different components in `found` that may reach the
+    similarity: none that does is missing."""
+    p, q = least
+    # One text of each class will do, and its component where it isn't its own.
+    rows = marked.where("doc_id is not null").join(classes.select("class", "node"), "class")
+    copies = rows.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("node")).alias("copy")).where("copy")
+    marks = copies.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "full")
+    marks = materialize(marks, "marks")
+    small = F.broadcast(marks) if marks.count() <= MOST_HOT else marks
+    texts = _texts(docs).where("doc_id is not null").join(small, "doc_id", "left").where("copy is null").select("text", F.coalesce("component", "doc_id").alias("component"))
+    often = common(texts, words, seed, max(16, classes.count() >> 11))
+    near = materialize(shared(texts, often, words, least, seed, chunk), "near")
+    group = ["key", "i", "j"]
+    rows = dealt(near, "key", "class", chunk).join(classes.select("class", "node", "n", "part"), "class")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*group, "at", "component", "node", "n", "part").repartition(parts, *group).sortWithinPartitions(*group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, group, 1 << 12):
+            at, component, node, n = (table[c].to_numpy() for c in ("at", "component", "node", "n"))
+            held, pairs = _Parities(table["part"].to_pylist()), [np.zeros((0, 2), np.int64)]
+            for x, y in _lags(group_ids(table, group)):
+                some = (component[x] != component[y]) & (node[x] != node[y]) & _possible(n[x], n[y], at[x], at[y], least)
+                x, y = x[some], y[some]
+                room = n[x] + n[y] - 2 * -(-p * (n[x] + n[y]) // (p + q))
+                some = held.apart(x, y) <= room
+                x, y = node[x[some]], node[y[some]]
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            once = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+        give_back()
+
+    out = materialize(rows.mapInArrow(run, "a long, b long").distinct(), "rest")
+    discard(near, marks)
+    return out
+
+
 def similar_texts(
     docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), lengths: int = 4, tables: int = 3, blocks: int = 8, agree: int = 2,
     distance: int = 56, seed: int = 42, chunk: int = 1000,
 ) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text): components of texts
-    whose shingle sets have Jaccard similarity of at least least[0] / least[1], found by
-    `agree` of `blocks` pieces in one of `tables` fingerprints and at most `distance` bits
-    in all `lengths`. Texts of equal sets are one class before anything is joined."""
+    whose shingle sets have Jaccard similarity of at least least[0] / least[1]. Most are
+    found by `agree` of `blocks` pieces in one of `tables` fingerprints and at most
+    `distance` bits in all `lengths`, all others by rest_links(); these numbers change the
+    time it takes and not the result. Texts of equal sets are one class before anything is
+    joined."""
     if not 0 < agree <= blocks <= 64 or not 0 < tables <= lengths:
         raise ValueError("agree must not exceed blocks, nor tables lengths")
+    if not 0 < least[0] <= least[1]:
+        raise ValueError("the similarity must be above 0 and not above 1")
     small_batches(docs.sparkSession)
     marked = materialize(described(docs, words, lengths, seed), "described")
     first = marked.groupBy("class").agg(F.min_by(F.struct("n", "fps", "part"), F.col("doc_id")).alias("r"), F.min("doc_id").alias("node"))
@@ -416,5 +627,9 @@ def similar_texts(
     pairs = materialize(bounded(met, known, least), "pairs")
     discard(met)
     found = components(verified(pairs, docs, words, least, seed))
+    rest = rest_links(docs, marked, classes, found, words, least, seed, chunk)
+    more = materialize(verified(rest, docs, words, least, seed), "more")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     return marked.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")

@@ -100,3 +100,23 @@ def test_odd_rows(spark):
     assert got == [(-1, None), (1, 1), (2, 1), (3, 3), (4, 3), (4, 3), (9, 9)]
     assert simhash.similar_texts(docs.limit(0)).collect() == []
     assert np.array_equal(simhash.shingles("w " * 70000), simhash.shingles("w w w w w"))
+
+
+def test_no_link_is_lost(spark):
+    """Every pair at the similarity is joined, whatever the blocks miss."""
+    for seed in (3, 5):
+        texts = edited(random.Random(seed))
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        want = brute_components(texts)
+        for chunk, distance in ((1000, 56), (20, 0)):
+            assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs, chunk=chunk, distance=distance).collect()} == want
+
+
+def test_parities_never_exceed_the_difference():
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 31, 33, 100, 3000):
+        x = np.unique(rnd.integers(0, 1 << 63, n, np.uint64))
+        y = np.unique(np.r_[x[n // 9:], rnd.integers(0, 1 << 63, n // 7, np.uint64)])
+        held = simhash._Parities([simhash.parity(x).tobytes(), simhash.parity(y).tobytes()])
+        far = held.apart(np.array([0, 1, 0]), np.array([1, 0, 0]))
+        assert far[0] == far[1] <= len(np.setxor1d(x, y)) and far[2] == 0
