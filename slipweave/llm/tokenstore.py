@@ -46,13 +46,16 @@ from ..plans.shared import discard, materialize, new_path, remove, temporary
 from .idmemo import IdMemo
 from .memory import give_back, small_batches
 
-MEMO, PER_CALL, PIECE = 2_000_000, 2048, 1 << 23
+MEMO, PER_CALL, PER_TEXT, PIECE = 2_000_000, 2048, 64, 1 << 23
 WINDOW, MEAN, LEAST, MOST, DIGEST = 8, 512, 64, 4096, 16
 #: Classes of characters: white space, letters, numbers, all others, and those whose class may differ between libraries.
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level models write the other bytes as the characters from 256 on.
 _BYTES = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512)))
+_SHOWN = np.array([_BYTES.get(b, b) for b in range(256)], "<u2")
+#: Bytes that UTF-8 never holds.
+_NEVER = (0xC0, 0xC1, *range(0xF5, 0x100))
 # What byte-level models split off after an apostrophe.
 _SHORT = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
@@ -62,7 +65,7 @@ _CUT = re.compile(rb" (?=[!-~])")
 
 def _shown(raw: bytes) -> str:
     """Bytes as byte-level models write them."""
-    return raw.decode("latin-1").translate(_BYTES)
+    return _SHOWN[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
 
 
 @lru_cache(1)
@@ -115,7 +118,9 @@ def groups(data: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
     follows = follows[1:] if len(follows) and follows[0] == 0 else follows
     follows = follows[kind[follows - 1] == SPACE]  # something after white space
     if len(ends) > 1:
-        follows = follows[~np.isin(follows, ends[:-1])]
+        begins = np.zeros(n, bool)
+        begins[ends[:-1]] = True
+        follows = follows[~begins[follows]]
     last = follows - 1
     for _ in range(2):
         last = last - (data[last] & 0xC0 == 0x80)
@@ -142,55 +147,50 @@ class Encoder:
 
     Many texts are split at once by the classes of their bytes; equal groups of a
     batch are one, and those that the memo lacks go through the library's model,
-    many at a time. Groups, ids and lookups stay in arrays. A memo that is full
-    keeps what the batch at hand has of it. Texts with characters whose class is
-    unsure, or that hold one of the model's added tokens, and models of another
-    kind, are encoded whole by the library.
+    many at a time: a byte that UTF-8 never holds and no merge names ends each, so
+    no merge reaches over it and the model needs no splitting of its own. Groups,
+    ids and lookups stay in arrays. A memo that is full keeps what the batch at
+    hand has of it. Texts with characters whose class is unsure, or that hold one
+    of the model's added tokens, and models of another kind, are encoded whole by
+    the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.parting = b"\n"
-        self.end_of_line = self.lib.token_to_id(_shown(self.parting))
         self.splits = bool(
-            spec["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-            and not spec.get("normalizer") and not spec.get("post_processor") and self.end_of_line is not None
+            model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+            and not spec.get("normalizer") and not spec.get("post_processor")
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         )
-        self.groups = Tokenizer(self.lib.model)  # one model in memory
-        self.groups.pre_tokenizer = pre_tokenizers.Split(_shown(self.parting), "isolated")
+        if self.splits:
+            merged = set().union(*("".join(m) for m in model["merges"]))
+            self.parting = next((bytes([b]) for b in _NEVER if _shown(bytes([b])) not in merged and _shown(bytes([b])) in model["vocab"]), None)
+            self.splits = self.parting is not None
+        if self.splits:
+            self.stop = self.lib.token_to_id(_shown(self.parting))
+            self.groups = Tokenizer(self.lib.model)  # one model in memory
         self.memo = IdMemo(MEMO)
 
     def _solve(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of some groups has, and all their ids."""
-        several = np.array([self.parting in k for k in keys])  # what parts the groups in a call stands in these
-        rest = [k for k, x in zip(keys, several) if not x]
-        sizes, flat = np.zeros(len(keys), np.int32), []
-        found = [np.zeros(0, np.int64)]
-        for at in range(0, len(rest), PER_CALL):
-            part = rest[at:at + PER_CALL]
-            text = _shown(self.parting.join(part))
-            ids = np.array(self.groups.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(ids == self.end_of_line)
-            if len(stops) != len(part) - 1:
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(keys), PER_CALL):
+            part = keys[at:at + PER_CALL]
+            texts = [_shown(self.parting.join([*part[k:k + PER_TEXT], b""])) for k in range(0, len(part), PER_TEXT)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.groups.encode_batch_fast(texts, add_special_tokens=False)])
+            stops = np.flatnonzero(ids == self.stop)
+            if len(stops) != len(part) or stops[-1] != len(ids) - 1:
                 raise ValueError("the tokenizer merges across groups")
-            found.append(np.diff(np.r_[-1, stops, len(ids)]) - 1)
-            flat.append(ids[ids != self.end_of_line])
-        sizes[~several] = np.concatenate(found)
-        if several.any():  # few and short: one by one, and into their places
-            ends, parts, at = np.cumsum(sizes), [], 0
-            whole = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-            for k in np.flatnonzero(several).tolist():
-                parts += [whole[at:ends[k]], np.array([t.id for t in self.lib.model.tokenize(_shown(keys[k]))], np.uint32)]
-                sizes[k], at = len(parts[-1]), ends[k]
-            flat = [*parts, whole[at:]]
-        return sizes, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+            sizes.append(np.diff(stops, prepend=-1) - 1)
+            flat.append(ids[ids != self.stop])
+        return np.concatenate(sizes), np.concatenate(flat)
 
     def _split(self, data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> list[bytes]:
         """Ids of texts that lie back to back, none of them empty."""
@@ -274,19 +274,19 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
-    """Ends of the windows of WINDOW ids whose hash has its low bits zero."""
+    """Ends of the windows of WINDOW ids, a power of two, whose hash has its low bits zero."""
     n = len(ids) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         x = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
         x ^= x >> np.uint64(29)
-        base = np.uint64(0xD1342543DE82EF95)
-        h = x[:n].copy()
-        for k in range(1, WINDOW):
-            h *= base
-            h += x[k:n + k]
-        h ^= h >> np.uint64(32)
+        base, size = np.uint64(0xD1342543DE82EF95), 1
+        while size < WINDOW:  # a polynomial in the base: two windows side by side make one of twice the size
+            h = x[:-size] * base
+            h += x[size:]
+            x, base, size = h, base * base, 2 * size
+        h = x ^ (x >> np.uint64(32))
     return np.flatnonzero(h & np.uint64(MEAN - 1) == 0) + WINDOW
 
 
@@ -337,7 +337,7 @@ def _encode(docs: DataFrame, folder: str, path: str, end: int, seen_most: int =
         try:
             with fs.open_output_stream(f"{base}/{pack}", compression="zstd") as out:
                 for whole in batches:
-                    gc.collect()
+                    gc.collect(1)  # what outlived one look is not looked through again
                     for at in range(0, len(whole), 2048):
                         batch, rows = whole.slice(at, 2048), []
                         coded = [x + tail for x in enc.encode(batch.column(1).to_pylist())]

@@ -1,9 +1,10 @@
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from slipweave.llm import tokenstore
 
@@ -33,6 +34,47 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def _least(f):
+    """(result, least CPU seconds of three runs)"""
+    took = []
+    for _ in range(3):
+        begun = time.process_time()
+        out = f()
+        took.append(time.process_time() - begun)
+    return out, min(took)
+
+
+def test_new_groups_cost_less_than_splitting_by_the_library():
+    rnd = np.random.default_rng(5)
+    parts = ["the", "ing", "é", "日", "\n", "\n\n", "\r\n", "q", "zx", "7", "'s", "-", "\u2003", "\x00", "😀", "ation", "w"]
+    keys = list({(" " * int(rnd.integers(0, 2)) + "".join(rnd.choice(parts, rnd.integers(1, 6)))).encode() for _ in range(40_000)})
+    enc = tokenstore.Encoder(PATH)
+    (sizes, flat), mine = _least(lambda: enc._solve(keys))
+    assert np.split(flat, np.cumsum(sizes)[:-1])[-1].tolist() == [t.id for t in enc.lib.model.tokenize(tokenstore._shown(keys[-1]))]
+    assert flat.tolist() == [t.id for k in keys for t in enc.lib.model.tokenize(tokenstore._shown(k))]
+    assert sizes.tolist() == [len(enc.lib.model.tokenize(tokenstore._shown(k))) for k in keys]
+
+    plain = [k for k in keys if b"\n" not in k]
+    library = Tokenizer(enc.lib.model)
+    library.pre_tokenizer = pre_tokenizers.Split("\u010a", "isolated")
+    texts = [b"\n".join(plain[k:k + 2048]).decode("latin-1").translate(tokenstore._BYTES) for k in range(0, len(plain), 2048)]
+    _, splitting = _least(lambda: [library.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts])
+    assert mine / len(keys) < 0.8 * splitting / len(plain)
+
+
+def test_marks_are_those_of_the_polynomial():
+    ids = np.random.default_rng(4).integers(0, 50000, 20000).astype("<u4")
+    mixed = [((i + 1) * 0x9E3779B97F4A7C15) % 2**64 for i in ids.tolist()]
+    mixed, want = [x ^ x >> 29 for x in mixed], []
+    for at in range(len(ids) - tokenstore.WINDOW + 1):
+        h = 0
+        for x in mixed[at:at + tokenstore.WINDOW]:
+            h = (h * 0xD1342543DE82EF95 + x) % 2**64
+        if (h ^ h >> 32) % tokenstore.MEAN == 0:
+            want.append(at + tokenstore.WINDOW)
+    assert len(want) > 20 and tokenstore.marks(ids).tolist() == want
+
+
 def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert got(docs) == want([(r.doc_id, r.text) for r in docs.collect()])
