@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.shared import discard, materialize, new_path, remove, temporary
-from .idmemo import IdMemo
+from .idmemo import HashedMemo
 from .memory import give_back, small_batches
 
 MEMO, PER_CALL, PER_TEXT, PIECE = 2_000_000, 2048, 64, 1 << 23
@@ -176,7 +176,7 @@ class Encoder:
         if self.splits:
             self.stop = self.lib.token_to_id(_shown(self.parting))
             self.groups = Tokenizer(self.lib.model)  # one model in memory
-        self.memo = IdMemo(MEMO)
+        self.memo = HashedMemo(MEMO)
 
     def _solve(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of some groups has, and all their ids."""

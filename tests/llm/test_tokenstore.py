@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer, pre_tokenizers
 
-from slipweave.llm import tokenstore
+from slipweave.llm import idmemo, tokenstore
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +64,41 @@ def test_new_groups_cost_less_than_splitting_by_the_library():
     assert mine / len(keys) < 0.8 * splitting / len(plain)
 
 
+def _ids_of(memo, words, solve):
+    starts = np.cumsum([0, *map(len, words)])[:-1]
+    ids, n = memo.ids(np.frombuffer(b"".join(words), np.uint8), starts, solve)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def _letters(keys):
+    return np.array([len(k) for k in keys], np.int32), np.frombuffer(b"".join(keys), np.uint8).astype(np.uint32)
+
+
+def test_a_lookup_costs_no_look_through_the_memo():
+    memo = tokenstore.Encoder(PATH).memo
+    words = [b"w%d" % i for i in range(300_000)]
+    _ids_of(memo, words, _letters)
+    few = words[::1500]
+    ids, mine = _least(lambda: _ids_of(memo, few, None))  # all known: nothing to solve
+    assert ids == [list(w) for w in few]
+    _, through = _least(lambda: pc.index_in(pa.array(few), value_set=memo.known))
+    assert mine < through / 2
+
+
+@pytest.mark.parametrize("hashes", [None, lambda words: np.full(len(words), 7), lambda words: np.array([w[0] - 52 for w in words.to_pylist()], np.int64)])
+def test_the_memo_is_right_when_full_and_when_hashes_clash(hashes, monkeypatch):
+    if hashes:
+        monkeypatch.setattr(idmemo, "_hashes", hashes)
+    rnd, memo = np.random.default_rng(8), idmemo.HashedMemo(300)
+    for size in [0, 1, 40, 200, 900, 5, 100, 700, *rnd.integers(1, 250, 40).tolist()]:
+        words = [b"%d" % x for x in rnd.zipf(1.3, size) % 5000]
+        assert not words or _ids_of(memo, words, _letters) == [list(w) for w in words]
+        assert len(memo.known) == len(memo.sizes) == len(memo.hashes) <= max(300, len(set(words)))
+    many = [b"%d" % x for x in range(9000)]  # the table grows
+    memo.most = 20_000
+    assert _ids_of(memo, many, _letters) == _ids_of(memo, many, _letters if hashes else None) == [list(w) for w in many]
+
+
 def test_marks_are_those_of_the_polynomial():
     ids = np.random.default_rng(4).integers(0, 50000, 20000).astype("<u4")
     mixed = [((i + 1) * 0x9E3779B97F4A7C15) % 2**64 for i in ids.tolist()]
