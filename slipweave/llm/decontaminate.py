@@ -16,10 +16,13 @@ no shared gram has shorter ones, of n // (k + 1) characters: so passages of unde
 Texts are compared in lower case with every white-space character as a space;
 both keep the length, so positions are those of the text.
 
-Hits are listed for a bounded number at a time and kept as counts by band, so a
-text and a passage that repeat one character take memory in proportion to the
-text. The passages are shared with all tasks in blocks of at most `block_chars`
-characters; a larger benchmark takes more passes, each exact.
+Texts are hashed many at a time. A band has no more hits than its passage has in
+the whole text, so hits of a passage that has fewer than the bound there are put
+aside before bands are counted. Hits are listed for a bounded number at a time and
+kept as counts by band, so a text and a passage that repeat one character take
+memory in proportion to the text. The passages are shared with all tasks in blocks
+of at most `block_chars` characters; a larger benchmark takes more passes, each
+exact.
 
 Defined cases: null and empty texts and passages match nothing; equal rows match
 alike; no rows give no rows; other columns are ignored.
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from .memory import give_back, small_batches
 Q, EDITS = 8, 0.1
 #: A character no text has; edits in a cell of the alignment table; no way; cells of one table; hits at a time.
 OUTSIDE, UNIT, FAR, CELLS, HITS = 0xFFFFFFFF, 1 << 32, 1 << 60, 1 << 20, 1 << 20
+#: Characters of the texts that are searched together, and of those that are hashed together.
+GROUP, CHUNK = 1 << 20, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r\x85\xa0  　"})
 
@@ -55,17 +60,49 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@cache
+def _plain() -> np.ndarray:
+    """What normalize() makes of each character, OUTSIDE where that hangs on others or is not one character."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    rest = table[0x20000:].tobytes().decode("utf-32-le")
+    for c in range(0x20000 if rest.lower() == rest else len(table)):
+        low = chr(c).lower()
+        table[c] = ord(low) if len(low) == 1 else OUTSIDE
+    table[ord("Σ")] = OUTSIDE  # lower case differs at a word's end
+    table[list(_SPACES)] = ord(" ")
+    return table
+
+
+def _together(texts: list[str]) -> np.ndarray:
+    """The codes of the normalized texts, one behind the other."""
+    codes, table = _codes("".join(texts)), _plain()
+    out = np.empty_like(codes)
+    for at in range(0, len(codes), CHUNK):
+        table.take(codes[at:at + CHUNK], out=out[at:at + CHUNK], mode="clip")
+    odd = np.flatnonzero(out == OUTSIDE)
+    if len(odd):
+        ends = np.cumsum([len(t) for t in texts])
+        for t in np.unique(np.searchsorted(ends, odd, "right")).tolist():
+            out[ends[t] - len(texts[t]):ends[t]] = _codes(normalize(texts[t]))
+    return out
+
+
 def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """Polynomials of q codes each, from those of half as many, mixed."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
     wide = codes.astype(np.uint64)
-    for k in range(q):
-        h *= _BASE
-        h += wide[k:n + k]
+    h, m = wide, 1
+    for bit in f"{q:b}"[1:]:
+        h = h[:len(h) - m] * np.uint64(pow(int(_BASE), m, 1 << 64)) + h[m:]
+        m *= 2
+        if bit == "1":
+            h = h[:-1] * _BASE + wide[m:]
+            m += 1
     h ^= h >> np.uint64(31)
-    return h * _BASE
+    h *= _BASE
+    return h
 
 
 def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -81,6 +118,20 @@ def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The texts in turn, in lists of at most GROUP characters or of one text that has more."""
+    group: list[str] = []
+    held = 0
+    for text in texts:
+        if group and (held + len(text or "") > GROUP or len(group) >= 4096):
+            yield group
+            group, held = [], 0
+        group.append(text or "")
+        held += len(group[-1])
+    if group:
+        yield group
+
+
 class _Grams:
     """The q-grams of some passages, for one q."""
 
@@ -96,17 +147,35 @@ class _Grams:
         self.place = np.concatenate([np.arange(len(h)) for h in hashes])[order]
         self.sieve = np.zeros(1 << self.SIEVE, bool)
         self.sieve[self.grams >> np.uint64(64 - self.SIEVE)] = True
+        # The first gram of each run of equal leading bits; behind the last gram one that nothing exceeds.
+        bits = min(self.SIEVE, len(self.grams).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.grams, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.ended = np.r_[self.grams, np.uint64(0xFFFFFFFFFFFFFFFF)]
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of the gram) of the grams found in the codes."""
+        places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, max(1, len(codes) - self.q + 1), CHUNK):
+            h = gram_hashes(codes[at:at + CHUNK + self.q - 1], self.q)
+            pos = np.flatnonzero(self.sieve.take((h >> np.uint64(64 - self.SIEVE)).view(np.int64)))
+            h = h[pos]
+            found = self.begin.take((h >> self.shift).view(np.int64))
+            less = np.flatnonzero(self.ended.take(found) < h)
+            while len(less):
+                found[less] += 1
+                less = less[self.ended.take(found[less]) < h[less]]
+            good = np.flatnonzero((self.ended.take(found) == h) & (found < len(self.grams)))
+            places.append(pos[good] + at)
+            numbers.append(found[good])
+        return np.concatenate(places), np.concatenate(numbers)
 
     def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(item, diagonal) of all hits in a text, about HITS at a time."""
         for at in range(0, max(1, len(codes) - self.q + 1), 1 << 20):
-            h = gram_hashes(codes[at:at + (1 << 20) + self.q - 1], self.q)
-            pos = np.flatnonzero(self.sieve[h >> np.uint64(64 - self.SIEVE)])
+            pos, found = self.find(codes[at:at + (1 << 20) + self.q - 1])
             if not len(pos):
                 continue
-            found = np.minimum(np.searchsorted(self.grams, h[pos]), len(self.grams) - 1)
-            good = self.grams[found] == h[pos]
-            pos, found = pos[good], found[good]
             upto = np.cumsum(self.counts[found])
             cut = 0
             while cut < len(pos):
@@ -156,22 +225,72 @@ class Passages:
                 if held > HITS:
                     found, total = together()
                     keys, counts, held = [found[:0], found], [total[:0], total], 0
-        # Hits of one step of k + 1 diagonals; a band holds two neighbouring steps.
-        found, total = together()
-        both = np.unique(np.concatenate([found, found - 1]))
+        return self._full(*together())
+
+    def _full(self, found: np.ndarray, total: np.ndarray, items: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(number, band) of the bands that reach the bound: a step of k + 1 diagonals is
+        number << 40 plus its place plus 1 << 39, a band holds two neighbouring steps;
+        the number is that of an item, or of a place in items."""
+        wide = 1 << 40
+        both = np.sort(np.concatenate([found, found - 1]), kind="stable")  # two sorted runs
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
 
         def of(step: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(found, step), max(0, len(found) - 1))
             return np.where(found[at] == step, total[at], 0) if len(found) else np.zeros(len(step), np.int64)
 
-        item = both // wide
-        enough = of(both) + of(both + 1) >= self.bound[item] if len(both) else np.zeros(0, bool)
-        return item[enough], both[enough] % wide - (wide >> 1)
+        number = both // wide
+        bound = self.bound[number if items is None else items[number]]
+        enough = of(both) + of(both + 1) >= bound if len(both) else np.zeros(0, bool)
+        return number[enough], both[enough] % wide - (wide >> 1)
 
-    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """(item, first diagonal, text) to align. Neighbouring bands of an item are one;
-        the text is what their diagonals cover, OUTSIDE where they leave it."""
-        items, bands = self.bands(codes)
+    def bands_of_many(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, band) as of bands(), in order, for texts that end at these places of the codes."""
+        found = []
+        edges, each = np.r_[0, ends], np.zeros(len(ends) + 1, np.int64)
+        for part in self.parts:
+            pos, gram = part.find(codes)
+            text = np.searchsorted(ends, pos, "right")
+            whole = np.flatnonzero(pos + part.q <= ends[text])
+            pos, gram, text = pos[whole], gram[whole], text[whole]
+            each += np.r_[0, np.cumsum(part.counts[gram])][np.searchsorted(text, np.arange(len(ends) + 1))]
+            found.append((part, pos, gram, text))
+        out = []
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(each, each[a] + HITS, "right")) - 1)
+            if each[b] - each[a] > HITS:
+                item, band = self.bands(codes[edges[a]:edges[b]])
+                out.append((np.full(len(item), a), item, band))
+            elif each[b] > each[a]:
+                out.append(self._bands_of_run(found, edges, a, b))
+            a = b
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def _bands_of_run(self, found: list[tuple[_Grams, np.ndarray, np.ndarray, np.ndarray]], edges: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """bands_of_many() of texts a to b, which have at most HITS hits, from (grams, place, number of the gram, text)."""
+        pairs, places = [], []
+        for part, *of in found:
+            begin, end = np.searchsorted(of[2], (a, b))
+            pos, gram, text = (x[begin:end] for x in of)
+            n = part.counts[gram]
+            which = np.repeat(part.first[gram] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            item = part.item[which]
+            pair = np.repeat(text * len(self.codes), n) + item
+            # Pairs may share a count: those that reach the bound stay all the same.
+            slot = pair & ((1 << (4 * len(pair) | 0xFFFF).bit_length()) - 1)
+            stay = np.flatnonzero(np.bincount(slot)[slot] >= self.bound[item])
+            pairs.append(pair[stay])
+            places.append(np.repeat(pos - edges[text], n)[stay] - part.place[which[stay]])
+        pair, number = np.unique(np.concatenate(pairs), return_inverse=True)
+        items = pair % max(1, len(self.codes))
+        step = np.concatenate(places) // (self.budget[items] + 1)[number]
+        number, band = self._full(*np.unique((number << 40) + step + (1 << 39), return_counts=True), items)
+        return pair[number] // max(1, len(self.codes)), items[number], band
+
+    def _candidates(self, codes: np.ndarray, items: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """(item, first diagonal, text) to align, of a text's bands. Neighbouring bands of an item
+        are one; the text is what their diagonals cover, OUTSIDE where they leave it."""
         if not len(items):
             return
         new = np.flatnonzero(np.r_[True, (items[1:] != items[:-1]) | (bands[1:] != bands[:-1] + 1)])
@@ -249,12 +368,16 @@ class Passages:
         not overlap, from its best one on. Equal candidates, as in copies, are aligned once while remembered."""
         waiting: list[list[tuple[int, int, bytes]]] = []
         held = 0
-        for text in texts:
-            waiting.append(list(self._candidates(_codes(normalize(text)))))
-            held += sum(len(x) for _, _, x in waiting[-1])
-            if held >= 4 * CELLS or len(waiting) >= 4096:
-                yield from self._settle(waiting)
-                waiting, held = [], 0
+        for group in _groups(texts):
+            codes, ends = _together(group), np.cumsum([len(t) for t in group])
+            text, items, bands = self.bands_of_many(codes, ends) if len(codes) <= GROUP else (np.zeros(0), *self.bands(codes))
+            edges = np.searchsorted(text, np.arange(len(group) + 1)) if len(codes) <= GROUP else np.array([0, len(items)])
+            for t, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                waiting.append(list(self._candidates(codes[ends[t] - len(group[t]):ends[t]], items[a:b], bands[a:b])) if b > a else [])
+                held += sum(len(x) for _, _, x in waiting[-1])
+                if held >= 4 * CELLS or len(waiting) >= 4096:
+                    yield from self._settle(waiting)
+                    waiting, held = [], 0
         yield from self._settle(waiting)
 
     def _settle(self, waiting: list[list[tuple[int, int, bytes]]]) -> Iterator[list[tuple[int, int, int, int]]]:

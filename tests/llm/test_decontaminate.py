@@ -108,3 +108,37 @@ def test_one_character_a_million_times():
     tracemalloc.stop()
     assert got[0][1:] == (0, len(text) - len(item), len(text)) and {h[0] for h in got} == {1}
     assert peak < 500_000_000, peak
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    rnd = random.Random(3)
+    items = ["".join(rnd.choices("abcdefgh ", k=rnd.choice([7, 30, 120]))) for _ in range(6)]
+    texts = []
+    for n in range(400):
+        before, after = ("".join(rnd.choices("ghijklmn ", k=rnd.choice([0, 20, 300]))) for _ in range(2))
+        texts.append(rnd.choice([None, "", before]) if n % 5 == 0 else before + edited(rnd, items[n % 6], rnd.choice([0, 1, 3])) + after)
+    # A match over the seam of two texts is none.
+    texts += [items[2][:3], items[2][3:]]
+    index = D.Passages(list(enumerate(items)))
+    alone = [index.search(t) for t in texts]
+    calls, hashes = [], D.gram_hashes
+    monkeypatch.setattr(D, "gram_hashes", lambda codes, q: calls.append(q) or hashes(codes, q))
+    assert list(index.search_all(texts)) == alone and sum(map(bool, alone)) > 100
+    assert len(calls) < 40, len(calls)
+
+
+def test_groups_of_any_size_find_the_same(monkeypatch):
+    items = ["ab" * 30, "a passage that repeats nothing at all, or hardly", "bab"]
+    texts = ["ab" * 50 + "x" + "ba" * 45, None, "A PASSAGE that repeats nothing at al, or hardly. bab", "", "ba" * 200]
+    index = D.Passages(list(enumerate(items)))
+    want = list(index.search_all(texts))
+    for group, chunk, hits in [(1, 1 << 16, 1 << 20), (150, 16, 1 << 20), (1 << 20, 30, 40), (1 << 20, 1 << 16, 3)]:
+        for name, value in [("GROUP", group), ("CHUNK", chunk), ("HITS", hits)]:
+            monkeypatch.setattr(D, name, value)
+        assert list(index.search_all(texts)) == want, (group, chunk, hits)
+    assert [bool(x) for x in want] == [True, False, True, False, True]
+
+
+def test_characters_as_in_normalize():
+    texts = ["ΟΔΟΣ ΣΑΣ", "", "İstanbul Ş", "Σ", "É　\x85😀 Straße", "x" * 70_000 + "Σ"]
+    assert D._together(texts).tolist() == [ord(c) for t in texts for c in D.normalize(t)]
